@@ -1,0 +1,17 @@
+"""Column functions on strings. Null in gives null out unless said otherwise."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def name_form(c: Column) -> Column:
+    """Lower-cased, trimmed, inner runs of white space made one space; blank strings become empty."""
+    return F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
+
+
+def ref_key(c: Column) -> Column:
+    """A key as referred to: trimmed of all white space and lower-cased; blank becomes null."""
+    k = F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    return F.when(k != "", k)
