@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import name_form
+from tracewell.functions.text import name_form, ref_key
 from tracewell.llm.components import connected_groups, star_pairs
 from tracewell.llm.cooccurrence import pair_lift
+from tracewell.llm.mixing import mix_documents, mix_report, mixing_rates
 from tracewell.llm.neighbors import nearest_pairs, usable_vectors
-from tracewell.runtime import table
+from tracewell.llm.packing import pack
+from tracewell.llm.restatements import restatement_groups
+from tracewell.llm.tokens import with_tokens
+from tracewell.runtime import cut, table
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -41,4 +46,62 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("item_a").alias("name_a"), F.col("item_b").alias("name_b"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found}
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs with their counts, lift and mutual information, beside the weight of the relation between records of
+    those names and the co-activations measured before (the largest of each; null where there is none)."""
+    pairs = pair_lift(_session_names(spark, d), "session", "name", 2, 0.0, _sessions(spark, d))
+    ids = table(spark, d, "entities").select("id", name_form(F.col("canonical_name")).alias("n")).filter("n != ''").distinct()
+
+    def edges(rows: DataFrame, a: str, b: str, value: str) -> DataFrame:
+        ends = rows.select(ref_key(F.col(a)).alias("a"), ref_key(F.col(b)).alias("b"), F.col(value).cast("double").alias("v"))
+        named = ends.join(ids.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(ids.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
+        return named.groupBy(F.least("na", "nb").alias("item_a"), F.greatest("na", "nb").alias("item_b")).agg(F.max("v").alias(value))
+
+    weights = edges(table(spark, d, "relations").filter("relation_type = 'related_to'"), "source_entity", "target_entity", "weight")
+    measured = edges(table(spark, d, "metrics"), "entity_a", "entity_b", "coactivations")
+    return pairs.join(weights, ["item_a", "item_b"], "left").join(measured, ["item_a", "item_b"], "left")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = table(spark, d, "atoms").select("id", "content").unionByName(table(spark, d, "facts").select("id", "content"))
+    groups = restatement_groups(texts, "id", "content", 0.75, 8)
+    return groups.select(F.col("node").alias("record_id"), F.col("group").alias("group_id"))
+
+
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", name_form(F.col("source")).alias("source"))
+    return cut(with_tokens(docs, "text", ["doc_id", "source"]))
+
+
+def p7_windows(spark: SparkSession, d: str) -> DataFrame:
+    """(spec_id, doc_id, part, n_tokens, window_id): every document placed in a window of each capacity."""
+    sized = _sized(spark, d)
+    specs = table(spark, d, "pack_specs").select("spec_id", "capacity_tokens").distinct().collect()  # a few specs
+    packed = [pack(sized, r["capacity_tokens"]).select(F.lit(r["spec_id"]).alias("spec_id"), "doc_id", "part", "n_tokens", "window_id") for r in specs]
+    return reduce(DataFrame.unionByName, packed)
+
+
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """Windows, tokens and the share of room used, per capacity."""
+    windows = p7_windows(spark, d).groupBy("spec_id", "window_id").agg(F.sum("n_tokens").alias("used"), F.count("*").alias("items"))
+    specs = table(spark, d, "pack_specs").select("spec_id", "capacity_tokens").distinct()
+    total = windows.groupBy("spec_id").agg(F.count("*").alias("windows"), F.sum("items").alias("items"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"))
+    return total.join(specs, "spec_id").withColumn("room_used", F.col("tokens") / (F.col("windows") * F.col("capacity_tokens")))
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """(mix_id, doc_id, source, n_tokens, copies): the selection of each mix."""
+    sized = _sized(spark, d)
+    return mix_documents(sized, mixing_rates(sized, table(spark, d, "mix_targets")))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Targets and the shares really reached, per mix and source."""
+    sized = _sized(spark, d)
+    rates = mixing_rates(sized, table(spark, d, "mix_targets"))
+    return mix_report(mix_documents(sized, rates), rates)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_pairs, p7_windows, p7_report, p8_mix, p8_shares)
+}

@@ -11,6 +11,11 @@ _GROUPS = """, e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 SQL: dict[str, str] = {
     "p1_found": f"""WITH RECURSIVE k AS ({_P1_KEYS}), m AS (SELECT s, min(id) AS b FROM k WHERE s <> '' GROUP BY s),
   l AS (SELECT DISTINCT k.id AS a, m.b FROM k JOIN m USING (s) WHERE k.id <> m.b)""" + _GROUPS.format(node="entity_id"),
+    "p2_found": """WITH RECURSIVE t AS (SELECT DISTINCT id, regexp_extract_all(lower(content), '[0-9a-z]+') AS runs FROM (SELECT id, content FROM atoms UNION ALL SELECT id, content FROM facts) WHERE content IS NOT NULL),
+  s AS (SELECT DISTINCT id, list_sort(list_distinct(runs)) AS ws FROM t WHERE len(runs) >= 8),
+  k AS (SELECT ws, min(id) AS k, len(ws) AS n FROM s GROUP BY ws), w AS (SELECT k, n, unnest(ws) AS w FROM k),
+  x AS (SELECT a.k AS a, b.k AS b FROM w a JOIN w b ON a.w = b.w AND a.k < b.k GROUP BY a.k, b.k, a.n, b.n HAVING count(*) >= 0.75 * least(a.n, b.n)),
+  l AS (SELECT a, b FROM x UNION SELECT s.id, k.k FROM s JOIN k USING (ws) WHERE s.id <> k.k)""" + _GROUPS.format(node="record_id"),
     "p3_found": """WITH v AS (SELECT id, min(embedding)::DOUBLE[64] AS e FROM (SELECT id, embedding FROM entities UNION ALL SELECT id, embedding FROM logical_forms)
     WHERE len(embedding) = 64 AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0 GROUP BY id),
   s AS (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY array_cosine_similarity(a.e, b.e) DESC, b.id) AS r FROM v a, v b WHERE a.id <> b.id)
