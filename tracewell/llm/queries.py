@@ -15,6 +15,7 @@ from tracewell.llm.mixing import mix_documents, mix_report, mixing_rates
 from tracewell.llm.neighbors import nearest_pairs, usable_vectors
 from tracewell.llm.packing import pack
 from tracewell.llm.restatements import restatement_groups
+from tracewell.llm.spellings import variant_names
 from tracewell.llm.tokens import with_tokens
 from tracewell.runtime import cut, table
 
@@ -68,6 +69,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.select(F.col("node").alias("record_id"), F.col("group").alias("group_id"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    mentions = table(spark, d, "atoms").select(F.explode("entities").alias("n"))
+    return variant_names(table(spark, d, "entities"), "id", "canonical_name", "aliases", mentions)
+
+
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", name_form(F.col("source")).alias("source"))
     return cut(with_tokens(docs, "text", ["doc_id", "source"]))
@@ -103,5 +109,5 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_pairs, p7_windows, p7_report, p8_mix, p8_shares)
+    f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_pairs, p5_found, p7_windows, p7_report, p8_mix, p8_shares)
 }
