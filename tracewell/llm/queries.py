@@ -16,6 +16,7 @@ from tracewell.llm.neighbors import nearest_pairs, usable_vectors
 from tracewell.llm.packing import pack
 from tracewell.llm.restatements import restatement_groups
 from tracewell.llm.spellings import variant_names
+from tracewell.llm.subjects import NONE, subject_areas
 from tracewell.llm.tokens import with_tokens
 from tracewell.runtime import cut, table
 
@@ -108,6 +109,25 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_report(mix_documents(sized, rates), rates)
 
 
+def p9_subjects(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, subject_area) of all documents, hand-labelled or not."""
+    areas = sorted(r["subject_area"] for r in table(spark, d, "subject_areas").select("subject_area").distinct().collect() if r["subject_area"] not in (None, NONE))
+    labels = table(spark, d, "doc_labels").select(F.col("doc_id").alias("doc"), F.col("subject_area").alias("subject"))
+    return subject_areas(table(spark, d, "documents"), "doc_id", "text", labels, areas).select(F.col("doc").alias("doc_id"), F.col("subject").alias("subject_area"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_subjects(spark, d).join(table(spark, d, "doc_labels").select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "subject_area").distinct()
+
+
+def p9_makeup(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and characters of each subject, and their share of the corpus."""
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    total = docs.agg(F.count("*").alias("all_docs"), F.sum("n_chars").alias("all_chars"))
+    per = p9_subjects(spark, d).distinct().join(docs, "doc_id").groupBy("subject_area").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"))
+    return per.join(F.broadcast(total)).select("subject_area", "docs", "chars", (F.col("docs") / F.col("all_docs")).alias("doc_share"), (F.col("chars") / F.col("all_chars")).alias("char_share"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_pairs, p5_found, p7_windows, p7_report, p8_mix, p8_shares)
+    f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_pairs, p5_found, p7_windows, p7_report, p8_mix, p8_shares, p9_found, p9_makeup)
 }
