@@ -49,9 +49,9 @@ def project_of(file: Column) -> Column:
 
 def read_documents(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(file, text): each file whole."""
-    r = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true")
+    r = spark.read.option("recursiveFileLookup", "true")
     r = r.option("pathGlobFilter", glob) if glob else r
-    return r.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    return r.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
 def frontmatter(text: Column) -> Column:
@@ -105,7 +105,7 @@ def _next_chunk(acc: Column, text: Column, size: int) -> Column:
 
 def read_map_file(spark: SparkSession, path: str, value: str) -> DataFrame:
     """(key, value fields) of a JSON object of objects, kept in one file."""
-    raw = spark.read.option("wholetext", "true").text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", f"map<string, {value}>")).alias("key", "v")).select("key", "v.*")
 
 
