@@ -72,21 +72,18 @@ def lessons(forms: DataFrame, signs: list[str] = FAILURE) -> DataFrame:
 def keyword_scores(forms: DataFrame, atoms: DataFrame, least: float = 0.4) -> DataFrame:
     """(form_id, atom_id, score): share of the words of a form (content and triple, without stop words) that an atom has.
 
-    Instead of trying every pair, words are joined: only the rarest n - ceil(least * n) + 1 words of a form of n words
-    need to meet, since a pair that scores ``least`` shares one of them. Candidates are then scored on the arrays.
-    Forms and atoms without words give no row.
+    Instead of trying every pair, words are joined and the shared ones counted per pair, on row numbers and before the
+    shuffle; texts never travel with a pair. Forms and atoms without words give no row. The result itself grows with
+    forms times atoms, so callers test new atoms against active forms, not all against all.
     """
     said = F.concat_ws(" ", "content", "subject", "predicate", "object")
-    f = forms.select(F.col("id").alias("form_id"), keywords(said, CONFIRM_STOPWORDS).alias("fw")).filter(F.size("fw") > 0)
-    a = atoms.select(F.col("id").alias("atom_id"), keywords(F.coalesce("content", F.lit("")), []).alias("aw")).filter(F.size("aw") > 0)
-    post = a.select("atom_id", F.explode("aw").alias("w"))
-    freq = post.groupBy("w").agg(F.count("*").alias("df"))
-    words = f.select("form_id", F.size("fw").alias("n"), F.explode("fw").alias("w")).join(freq, "w", "left").na.fill(0, ["df"])
-    rank = words.withColumn("r", F.row_number().over(Window.partitionBy("form_id").orderBy("df", "w")))
-    keys = rank.filter(F.col("r") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).filter("df > 0").select("form_id", "w")
-    cand = keys.join(post, "w").select("form_id", "atom_id").distinct()
-    both = cand.join(f, "form_id").join(a, "atom_id")
-    return both.select("form_id", "atom_id", (F.size(F.array_intersect("fw", "aw")) / F.size("fw")).alias("score")).filter(F.col("score") >= least)
+    f = cut(forms.select(F.monotonically_increasing_id().alias("fi"), F.col("id").alias("form_id"), keywords(said, CONFIRM_STOPWORDS).alias("fw")).filter(F.size("fw") > 0))
+    a = cut(atoms.select(F.monotonically_increasing_id().alias("ai"), F.col("id").alias("atom_id"), keywords(F.coalesce("content", F.lit("")), []).alias("aw")).filter(F.size("aw") > 0))
+    fw = f.select("fi", F.size("fw").alias("n"), F.explode("fw").alias("w"))
+    used = fw.select("w").distinct()
+    aw = a.select("ai", F.explode("aw").alias("w")).join(used, "w", "left_semi")
+    both = fw.join(aw, "w").groupBy("fi", "ai", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= F.lit(least) * F.col("n"))
+    return both.join(f.select("fi", "form_id"), "fi").join(a.select("ai", "atom_id"), "ai").select("form_id", "atom_id", (F.col("c") / F.col("n")).alias("score"))
 
 
 def condition_scores(forms: DataFrame, atoms: DataFrame, least: float = 0.3) -> DataFrame:
