@@ -23,11 +23,19 @@ def gap_sessions(events: DataFrame, key: str, ts: str, order: list[str], gap_sec
     """``events`` with ``session_no``, from 0 per key: a new session where the gap to the event before exceeds the limit.
 
     A gap of exactly the limit stays in the session. Rows without key or time are dropped. ``order`` breaks ties of time.
+    Rows are walked by key and day, so a key with a third of all rows is spread over its days; the days of a key are
+    then chained by their first and last times.
     """
-    w = Window.partitionBy(key).orderBy(ts, *order)
-    rows = events.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
-    new = F.coalesce((seconds_between(F.lag(ts).over(w), F.col(ts)) > gap_seconds).cast("int"), F.lit(0))
-    return rows.withColumn("__new", new).withColumn("session_no", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+    rows = events.filter(F.col(key).isNotNull() & F.col(ts).isNotNull()).withColumn("__day", F.date_trunc("day", ts).cast("date"))
+    w = Window.partitionBy(key, "__day").orderBy(ts, *order)
+    new = F.coalesce((seconds_between(F.lag(ts).over(w), F.col(ts)) > gap_seconds).cast("long"), F.lit(0).cast("long"))
+    rows = rows.withColumn("__new", new).withColumn("__local", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    days = rows.groupBy(key, "__day").agg(F.min(ts).alias("__first"), F.max(ts).alias("__last"), F.sum("__new").alias("__n"))
+    chain = Window.partitionBy(key).orderBy("__day")
+    opens = F.coalesce((seconds_between(F.lag("__last").over(chain), F.col("__first")) > gap_seconds).cast("long"), F.lit(0).cast("long"))
+    days = days.withColumn("__open", opens).withColumn("__base", F.sum(F.col("__open") + F.col("__n")).over(chain.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n"))
+    out = rows.join(days.select(key, "__day", "__base"), [key, "__day"]).withColumn("session_no", F.col("__base") + F.col("__local"))
+    return out.select(*events.columns, "session_no")
 
 
 def session_provenance(sessions: DataFrame, key: str, ts: str, kind: str, error: Column, trigger: Column) -> DataFrame:
@@ -61,8 +69,11 @@ def retry_flags(events: DataFrame, keys: list[str], order: list[str]) -> DataFra
 
 def budget_prefix(rows: DataFrame, key: str, order: list[str], text: str, budget: int) -> DataFrame:
     """Rows of a key from the first on while their characters, one added per row, stay within the budget; stops at the
-    first that does not fit. Null texts count as empty."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    first that does not fit. Null texts count as empty. A row costs at least one, so no more than ``budget`` rows of a
+    key are kept before the shuffle."""
+    o = Window.partitionBy(key).orderBy(*order)
+    w = o.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__r", F.row_number().over(o)).filter(F.col("__r") <= budget).drop("__r")
     return rows.withColumn("used", F.sum(F.length(F.coalesce(text, F.lit(""))) + 1).over(w)).filter(F.col("used") <= budget)
 
 
