@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 
-from tracewell.llm import cooccurrence, neighbors
+from tracewell.llm import cooccurrence, neighbors, restatements
 from tracewell.llm.cooccurrence import pair_lift
 from tracewell.llm.neighbors import nearest_pairs, usable_vectors
 from tracewell.llm.restatements import restatement_groups, tree_recall
@@ -109,6 +109,18 @@ def test_restatements_match_brute_force(spark):
     assert got == restated(texts)
 
 
+def test_restatements_tied_by_one_rare_word(spark, monkeypatch):
+    """Twelve words, four of them rare; one rare and eight frequent ones are shared."""
+    monkeypatch.setattr(restatements, "FREQUENT", 0.2)
+    rng = random.Random(4)
+    stock, texts = [f"stock{k}" for k in range(20)], []
+    for k in range(100):
+        base = rng.sample(stock, 8) + [f"tie{k}"]
+        texts += [(f"{k:03d}{side}", " ".join(base + [f"own{k}{side}{j}" for j in range(3)])) for side in "ab"]
+    got = {r["node"]: r["group"] for r in restatement_groups(spark.createDataFrame(texts, "id string, content string"), "id", "content").collect()}
+    assert got == restated(texts) and len(got) == 200
+
+
 def test_restatements_of_nothing(spark):
     assert restatement_groups(spark.createDataFrame([], "id string, content string"), "id", "content").count() == 0
     assert restatement_groups(spark.createDataFrame([("a", "one two three four five six seven eight")], "id string, content string"), "id", "content").count() == 0

@@ -8,10 +8,10 @@ Two texts are alike if the words they share are at least ``share`` of the words
    level while the node stays small. What it must find are pairs that share rare words; ``tree_recall`` gives its
    collision curve.
 3. The collision curve depends on the Jaccard similarity, which falls to share / (r + 1 - share) for texts whose
-   sizes differ by a factor r, and on rare words. Pairs whose overlap lies in frequent words only are therefore found
-   exactly: a set of n words that lacks at most m = n - ceil(share * n) in its partner is dealt into m + 1 groups led by
-   its rarest words; at least one group lies wholly in the partner. Groups are tested by bit maps within the
-   records that hold the leading word, in blocks of bounded size.
+   sizes differ by a factor r, and on rare words. All pairs are therefore found exactly: a set of n words that lacks at
+   most m = n - ceil(share * n) in its partner is dealt into m + 1 groups led by its rarest words; at least one group
+   lies wholly in the partner. Groups led by a frequent word are tested by bit maps within the records that hold that
+   word, in blocks of bounded size; a group led by a rare word is that word alone, and is tested by its posting list.
 4. Every candidate is verified on the word sets, and the links become groups.
 
 Words are compared as 32-bit hashes, so two different words of one pair are taken as equal with odds of about 3e-7.
@@ -425,6 +425,82 @@ def contained_pairs(sets: DataFrame, freq: np.ndarray, counts: np.ndarray, share
     return routed.repartition("key").sortWithinPartitions(F.col("key"), F.expr("meta & 1").desc()).mapInArrow(test, "a long, b long, sure boolean").distinct()
 
 
+def rare_pairs(sets: DataFrame, freq: np.ndarray, share: float) -> DataFrame:
+    """(a, b) of records (rid, n, words) of which the smaller has one of its m + 1 groups led by a word that is not
+    frequent, and that word is in the larger.
+
+    Every record is posted under each of its rare words; up to m + 1 of them lead. All pairs of a posting list are
+    compared, by 128-bit sketches: each bit of the smaller that the larger has not is a word it lacks, so a pair is left
+    out only if more than m words are lacking for certain. A list has fewer rows than a word needs to be frequent.
+    """
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rid, n = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)
+            w, starts = _joined(b.column(2), np.uint32)
+            if not len(w):
+                continue
+            spot = ((w * np.uint32(0x85EBCA6B)) >> np.uint32(25)).astype(np.uint64)
+            bit = np.uint64(1) << (spot & np.uint64(63))
+            low, high = (np.bitwise_or.reduceat(np.where(side, bit, np.uint64(0)), starts[:-1]).view(np.int64) for side in (spot < 64, spot >= 64))
+            rare = _codes(w, freq) < 0
+            row = np.repeat(np.arange(len(n)), np.diff(starts))[rare]
+            place = _ramp_of(np.bincount(row, minlength=len(n)))
+            lead = place <= _lacking(n, share)[row]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(w[rare].view(np.int32)), pa.array(rid[row]), pa.array((n[row] << 1 | lead).astype(np.int32)), pa.array(low[row]), pa.array(high[row])],
+                names=["word", "rid", "meta", "low", "high"],
+            )
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by word; the last word of a batch waits for the next."""
+        rest: list[list[np.ndarray]] = []
+        for b in batches:
+            cols = [b.column(k).to_numpy() for k in range(5)]
+            if not len(cols[0]):
+                continue
+            start = int(np.searchsorted(cols[0], cols[0][-1]))
+            if rest and (start > 0 or cols[0][0] != rest[0][0][-1]):
+                yield from _lists([np.concatenate(c) for c in zip(*rest, [c[:start] for c in cols], strict=True)])
+                rest = []
+            elif start:
+                yield from _lists([c[:start] for c in cols])
+            rest.append([c[start:] for c in cols])
+        if rest:
+            yield from _lists([np.concatenate(c) for c in zip(*rest, strict=True)])
+
+    def _lists(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        word, rid, meta, low, high = cols
+        n = (meta >> 1).astype(np.int64)
+        most = _lacking(n, share)
+        edge = np.r_[np.nonzero(word[1:] != word[:-1])[0] + 1, len(word)]
+        end = np.repeat(edge, np.diff(np.r_[0, edge]))
+        alive, gap, a, b, held = np.arange(len(word)), 1, [], [], 0
+        while len(alive := alive[alive + gap < end[alive]]):
+            i, j = alive, alive + gap
+            swap = (n[i] > n[j]) | ((n[i] == n[j]) & (rid[i] > rid[j]))
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            leads = meta[i] & 1 > 0
+            i, j = i[leads], j[leads]
+            lacks = np.bitwise_count(low[i].view(np.uint64) & ~low[j].view(np.uint64)).astype(np.int64) + np.bitwise_count(high[i].view(np.uint64) & ~high[j].view(np.uint64))
+            ok = lacks <= most[i]
+            a.append(rid[i[ok]])
+            b.append(rid[j[ok]])
+            held, gap = held + int(ok.sum()), gap + 1
+            if held > 1_000_000:
+                yield _two(a, b)
+                a, b, held = [], [], 0
+        if held:
+            yield _two(a, b)
+
+    def _two(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+        x, y = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    posted = sets.select("rid", "n", "words").mapInArrow(post, "word int, rid long, meta int, low long, high long")
+    return posted.repartition("word").sortWithinPartitions("word").mapInArrow(meet, "a long, b long").distinct()
+
+
 class _Union:
     """Union-find over the rows of one block."""
 
@@ -496,7 +572,9 @@ def restatement_groups(texts: DataFrame, id_col: str, text_col: str, share: floa
         release(spark)
         within = cut(contained_pairs(sets, freq, counts, share))
         release(spark)
-        open_pairs = near.unionByName(within.filter("not sure").select("a", "b")).distinct()
+        rare = cut(rare_pairs(sets, freq, share))
+        release(spark)
+        open_pairs = near.unionByName(rare).unionByName(within.filter("not sure").select("a", "b")).distinct()
         ids = sets.select("rid", "id")
         sure = within.filter("sure").join(ids.select(F.col("rid").alias("a"), F.col("id").alias("src")), "a").join(ids.select(F.col("rid").alias("b"), F.col("id").alias("dst")), "b").select("src", "dst")
         links = cut(links.unionByName(sure).unionByName(verified(open_pairs, sets, share)))
