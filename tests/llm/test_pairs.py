@@ -121,6 +121,18 @@ def test_restatements_tied_by_one_rare_word(spark, monkeypatch):
     assert got == restated(texts) and len(got) == 200
 
 
+def test_restatements_in_a_large_family(spark, monkeypatch):
+    """Outliers alike to one member of a family whose distinctive words crowd the nodes of the tries."""
+    monkeypatch.setattr(restatements, "FREQUENT", 0.5)
+    rng = random.Random(6)
+    kin, texts = [f"kin{k}" for k in range(24)], [(f"z{k}", " ".join(f"z{k}w{j}" for j in range(9))) for k in range(180)]
+    for k in range(60):
+        own = [f"own{k}x{j}" for j in range(6)]
+        texts += [(f"m{k:02d}", " ".join(kin + own)), (f"o{k:02d}", " ".join(rng.sample(kin, 17) + own + [f"far{k}x{j}" for j in range(7)]))]
+    got = {r["node"]: r["group"] for r in restatement_groups(spark.createDataFrame(texts, "id string, content string"), "id", "content").collect()}
+    assert got == restated(texts) and len(got) == 120
+
+
 def test_restatements_of_nothing(spark):
     assert restatement_groups(spark.createDataFrame([], "id string, content string"), "id", "content").count() == 0
     assert restatement_groups(spark.createDataFrame([("a", "one two three four five six seven eight")], "id string, content string"), "id", "content").count() == 0

@@ -5,8 +5,8 @@ Two texts are alike if the words they share are at least ``share`` of the words
 1. Texts with equal word sets are one class, tied to its smallest id; all further work is on one record a class.
 2. MinHash LSH forest: in each of ``TREES`` sorted prefix tries of MinHash labels (words weighted by rarity, so that
    stock phrases do not collide) a record meets those that share its longest prefixes; prefixes are shortened level by
-   level while the node stays small. What it must find are pairs that share rare words; ``tree_recall`` gives its
-   collision curve.
+   level while the node stays small. Crowded nodes give few of their pairs, and ``tree_recall`` gives the collision
+   curve, so no pair is left to the tries alone: what they find is found by step 3 as well.
 3. The collision curve depends on the Jaccard similarity, which falls to share / (r + 1 - share) for texts whose
    sizes differ by a factor r, and on rare words. All pairs are therefore found exactly: a set of n words that lacks at
    most m = n - ceil(share * n) in its partner is dealt into m + 1 groups led by its rarest words; at least one group
