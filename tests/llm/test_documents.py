@@ -1,5 +1,6 @@
 """Packing, mixing and subject areas."""
 
+import random
 from collections import Counter
 
 import numpy as np
@@ -89,3 +90,15 @@ def test_subjects(spark):
     want = {(i, s) for i, a in truth.items() for s in a}
     assert len(said & want) / len(want) > 0.9 and len(said & want) / len(said) > 0.9
     assert not any(d >= 900 for d, _ in said)
+
+
+def test_subjects_of_copies_and_of_a_large_subject(spark):
+    """A third of the documents are copies of one text, and half of the others are about one subject."""
+    rng = random.Random(9)
+    stock = ["the", "and", "with", "from", "this"]
+    terms = {a: [f"{a}{c}" for c in "abcdefgh"] for a in ("law", "music", "sport")}
+    docs = [(f"t{k}", a, " ".join(stock + rng.sample(terms[a], 6))) for k, a in enumerate(["law"] * 60 + ["music"] * 30 + ["sport"] * 30)]
+    docs += [(f"c{k}", "sport", " ".join(stock + ["regatta", "rowing", "oarsman", "coxswain", "sculling", "paddle"])) for k in range(60)]
+    labels = [(i, a) for k, (i, a, _) in enumerate(docs) if k % 3 == 0]
+    got = subject_areas(spark.createDataFrame([(i, t) for i, _, t in docs], "doc_id string, text string"), "doc_id", "text", spark.createDataFrame(labels, "doc string, subject string"), list(terms)).collect()
+    assert {(r["doc"], r["subject"]) for r in got} == {(i, a) for i, a, _ in docs}
