@@ -10,6 +10,7 @@ import numpy as np
 from tracewell.llm import cooccurrence, neighbors, restatements
 from tracewell.llm.cooccurrence import pair_lift
 from tracewell.llm.neighbors import nearest_pairs, usable_vectors
+from tracewell.llm.queries import p4_pairs
 from tracewell.llm.restatements import restatement_groups, tree_recall
 from tracewell.llm.spellings import Judge, star_clusters, typing_cost, variant_names
 
@@ -30,6 +31,19 @@ def test_pair_lift_matches_brute_force_and_blocks(spark, monkeypatch):
     assert pair_lift(spark.createDataFrame([], "basket string, item string"), "basket", "item").count() == 0
 
 
+def test_all_pairs_with_what_was_measured(spark, tmp_path):
+    tables = {
+        "atoms": ([(["s1", "s2"], ["Ann", "Bob"]), (["s2"], ["Cid", "bob "])], "session_ids array<string>, entities array<string>"),
+        "entities": ([("1", "Ann"), ("2", "Bob"), ("3", "Cid")], "id string, canonical_name string"),
+        "relations": ([("2", "3", "related_to", 0.5)], "source_entity string, target_entity string, relation_type string, weight double"),
+        "metrics": ([("1", "3", 1)], "entity_a string, entity_b string, coactivations long"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {(r["item_a"], r["item_b"]): (r["n_ab"], r["weight"], r["coactivations"]) for r in p4_pairs(spark, str(tmp_path)).collect()}
+    assert got == {("ann", "bob"): (2, None, None), ("ann", "cid"): (1, None, 1.0), ("bob", "cid"): (1, 0.5, None)}
+
+
 def vectors(spark, rows):
     return usable_vectors(spark.createDataFrame(rows, "id string, v array<float>, vec string"), "id", "v", 8)
 

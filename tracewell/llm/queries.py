@@ -51,7 +51,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     """All pairs with their counts, lift and mutual information, beside the weight of the relation between records of
     those names and the co-activations measured before (the largest of each; null where there is none)."""
-    pairs = pair_lift(_session_names(spark, d), "session", "name", 2, 0.0, _sessions(spark, d))
+    pairs = pair_lift(_session_names(spark, d), "session", "name", 1, 0.0, _sessions(spark, d))
     ids = table(spark, d, "entities").select("id", name_form(F.col("canonical_name")).alias("n")).filter("n != ''").distinct()
 
     def edges(rows: DataFrame, a: str, b: str, value: str) -> DataFrame:
