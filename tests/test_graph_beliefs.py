@@ -2,6 +2,7 @@
 
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from tracewell.operators import beliefs as B
 from tracewell.operators import evaluation as V
 from tracewell.operators import graph as G
 from tracewell.operators.orphans import OrphanState, find_orphans, orphan_step, parent_index, references
+from tracewell.plans.memory import leader_clusters
 from tracewell.streaming.live import OrphanTracker
 
 D = datetime
@@ -55,6 +57,25 @@ def test_two_cliques(spark, run):
     assert len({label[x] for x in a}) == len({label[x] for x in b}) == 1 and label["a1"] != label["b1"] and label["alone"] == "alone"
 
 
+@pytest.mark.parametrize("size", [16, 2048])
+def test_leaders_of_the_whole_table(spark, tmp_path, monkeypatch, size):
+    monkeypatch.setattr(G, "LEADER_ROWS", size)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12, 6))[rng.integers(0, 12, 150)] + rng.normal(scale=0.6, size=(150, 6))
+    rows = [(k, k % 3, v.tolist()) for k, v in enumerate(x)] + [(150, 0, [0.0] * 6), (151, 0, None), (152, 1, x[0].tolist() + [0.0]), (153, 1, x[1].tolist() + [None])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    leaders, want = [], {}
+    for k, _, v in rows:
+        u = np.array(v if v is not None else [0.0], float)
+        u = u / np.linalg.norm(u) if np.linalg.norm(u) > 0 else None
+        hit = next((n for n, w in leaders if u is not None and u.shape == w.shape and u @ w >= 0.5), None)
+        if hit is None and u is not None:
+            leaders.append((str(k), u))
+        want[str(k)] = hit or str(k)
+    got = leader_clusters(spark, str(tmp_path)).collect()
+    assert {r.id: r.leader for r in got} == want and len(got) == len(rows)
+
+
 def test_leaders_and_bridges(spark):
     v = spark.createDataFrame([("a", 1, [1.0, 0.0], "k"), ("b", 2, [0.9, 0.1], "k"), ("c", 3, [0.0, 1.0], "k"), ("z", 4, [0.0, 0.0], "k"), ("n", 5, None, "k")], "id string, seq int, vec array<double>, blk string")
     assert {r.id: r.leader for r in G.leader_clusters(v, "blk").collect()} == {"a": "a", "b": "a", "c": "c", "z": "z", "n": "n"}

@@ -170,10 +170,9 @@ def label_propagation(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Embeddings of one label in blocks by label and sign pattern of four elements."""
+    """All embeddings in order of their ids, whatever their label."""
     e = table(spark, d, "embeddings")
-    sign = F.concat_ws("", F.col("label").cast("string"), *[F.when(F.col("embedding")[k] > 0, "+").otherwise("-") for k in range(4)])
-    return G.leader_clusters(e.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vec"), sign.alias("block")), "block", 0.5)
+    return G.leader_clusters(e.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vec")), None, 0.5)
 
 
 @query()
