@@ -179,3 +179,16 @@ def test_variant_names(spark):
     got = {tuple(r) for r in variant_names(spark.createDataFrame(rows, schema), "id", "canonical_name", "aliases", mentions).collect()}
     assert got == {("dulanak protocol", "1"), ("dulanka protocol", "2"), ("dulnka protocol", "1"), ("dulnka protocol", "2"), ("vexorum", "3")} - ({("vexorum", "3")} if typing_cost("vexirum", "vexorum", 2) > 2 else set())
     assert variant_names(spark.createDataFrame([], schema), "id", "canonical_name", "aliases", mentions.limit(0)).count() == 0
+
+
+def test_variants_of_names_made_of_common_tokens(spark):
+    coined = [a + b for a in ("bak", "dul", "fim", "gon") for b in ("zurt", "vexo", "lipa", "moqu")]
+    people = ["john smith", "robert smith"] + [f"{g} {c}" for g, c in zip(["john", "robert"] * 12, coined + [c[::-1] for c in coined[:8]], strict=True)]
+    people += [f"{c}a smith" for c in coined]
+    records = spark.createDataFrame([(str(k), n, None) for k, n in enumerate(people)], "id string, canonical_name string, aliases array<string>")
+    said = ["smith john", "bob smith", "smith, bob", "john b. smith"]
+    got = {tuple(r) for r in variant_names(records, "id", "canonical_name", "aliases", spark.createDataFrame([(n,) for n in said], "n string")).collect()}
+    assert {r for r in got if r[0] in said} == {("smith john", "0"), ("john b. smith", "0"), ("bob smith", "1"), ("smith, bob", "1")}
+    j = Judge({"john": False, "smith": True})
+    assert all(j.score(a, b) > 0 for a, b in [("jhon smith", "john smith"), ("john smith", "jonh smith")])
+    assert not j.score("john smith", "john jones") and not j.score("john", "john smith")
