@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import rows as R
 from tracewell.operators import sessions as S
+from tracewell.plans.memory import turn_clusters
 
 T0 = datetime(2026, 1, 1)
 
@@ -104,6 +105,22 @@ def test_turn_clusters(spark):
     assert run([]) == []
 
 
+def test_turn_clusters_of_events_break_where_the_intent_changes(spark, tmp_path):
+    kinds, gaps = ["view"] * 10 + ["click", "click", "view", None, "view", "error"], [0, 60, 60, 1900, 60, 60, 60, 60, 60, 60, 60, 7300, 60, 60, 1900, 60]
+    rows = [(1, at(sum(gaps[: k + 1])), k, kind, "{}") for k, kind in enumerate(kinds)] + [(2, at(0), 99, "view", "{}")]
+    spark.createDataFrame(rows, "user_id long, ts timestamp, event_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
+    # one thing a turn, so neighbours that ended provisionally share none and stay apart, unless one of them has none
+    want, size, intent = [], 0, None
+    for kind, gap in zip(kinds, gaps, strict=True):
+        changed = kind is not None and intent is not None and kind != intent
+        if not want or gap > 7200 or changed or size >= 8:
+            want.append(0)
+            size, intent = 0, None
+        want[-1], size, intent = want[-1] + 1, size + 1, kind or intent
+    got = turn_clusters(spark, str(tmp_path)).orderBy("user_id", "cluster_no").collect()
+    assert [(r.user_id, r.turns) for r in got] == [(1, n) for n in want] + [(2, 1)]
+
+
 def test_token_chunks(spark):
     def run(sizes):
         df = spark.createDataFrame([("a", i, n) for i, n in enumerate(sizes)], "k string, seq int, n int")

@@ -363,13 +363,13 @@ def soft_supersede(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _turns(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("user_id", "ts", "event_id", F.concat_ws(" ", "event_type", "props").alias("intent"), F.array("event_type").alias("things"))
+    return table(spark, d, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("intent"), F.array("event_type").alias("things"))
 
 
 @query()
 def turn_clusters(spark: SparkSession, d: str) -> DataFrame:
-    t = _turns(spark, d).withColumn("intent", F.lit(None).cast("string"))
-    return S.turn_clusters(t, "user_id", "ts", ["event_id"], "intent", "things").groupBy("user_id", "cluster_no").agg(F.count("*").alias("turns"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    """Intent and things are the type of the event, the one column that stays the same while a user does one thing."""
+    return S.turn_clusters(_turns(spark, d), "user_id", "ts", ["event_id"], "intent", "things").groupBy("user_id", "cluster_no").agg(F.count("*").alias("turns"), F.min("ts").alias("first"), F.max("ts").alias("last"))
 
 
 @query()
