@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from tracewell.llm import cooccurrence, neighbors, restatements
 from tracewell.llm.cooccurrence import pair_lift
@@ -153,13 +154,33 @@ def test_restatements_of_nothing(spark):
     assert tree_recall(0.9, 3) > 0.99 > tree_recall(0.3, 6)
 
 
+@pytest.mark.parametrize("size", [100, 1000, 4000])
+def test_planted_variants_are_linked_at_every_size(spark, size):
+    """The same variants of the same names, among more and more others; short forms become common words on the way."""
+    rng = random.Random(8)
+    piece = [c + v for c in "bdfgjklmnprstvz" for v in "aeiou"]
+    kinds = [("service", "svc"), ("broker", "brkr"), ("protocol", "proto"), ("station", "stn"), ("initiative", "init."), ("threshold", "thresh"), ("foundation", "fdn")]
+    coined = sorted({"".join(rng.choice(piece) for _ in range(4)) for _ in range(size)})
+    names = [f"{c} {kinds[k % 7][0]}" for k, c in enumerate(coined)]
+    others = [f"{c} {kinds[k % 7][1]}" for k, c in enumerate(coined) if k % 5 == 0]
+    want = []
+    for k in range(0, len(names), max(1, len(names) // 40)):
+        stem, (full, short) = coined[k], kinds[k % 7]
+        want += [(f"{stem} {short}", str(k)), (f"{short} {stem}", str(k)), (f"{stem}_{full}", str(k)), (f"{stem[:3]}{stem[4]}{stem[3]}{stem[5:]} {full}", str(k)), (f"{stem[:5]}{stem[6:]} {full}", str(k)), (f"{stem[:4]}{stem[4]}{stem[4:]} {short}", str(k))]
+    want = {w for w in want if w[0] not in names}
+    records = spark.createDataFrame([(str(k), n, None) for k, n in enumerate(names)], "id string, canonical_name string, aliases array<string>")
+    said = spark.createDataFrame([(n,) for n in others] + [(w[0],) for w in want], "n string")
+    got = {tuple(r) for r in variant_names(records, "id", "canonical_name", "aliases", said).collect()}
+    assert len(want & got) >= 0.97 * len(want), sorted(want - got)
+
+
 def test_typing_cost():
     assert [typing_cost(a, b, 2) for a, b in [("abc", "abc"), ("abcd", "abdc"), ("abcd", "abd"), ("hello", "helllo"), ("lab", "kab"), ("lab", "zab"), ("abcdef", "uvwxyz")]] == [0, 1, 1, 1, 1, 2, 3]
 
 
 def test_judge():
-    j = Judge({"service": True, "relay": True, "hanae": False, "ingrid": False, "py": True, "samuel": False})
-    yes = [("lenlafuk service", "lenlafuk svc"), ("lenlafuk service", "lenlauk serivce"), ("qunvuni samuel", "sam qunvuni"), ("hanae nimakbok", "hanae b. nimakbok"), ("src/lasimemli_zebu.py", "lasimemli_zebu"), ("hinnomlavamrelay", "hinnomlavam relay"), ("wotfolxu relay", "wötfolxu relay")]
+    j = Judge({"service": (900, True), "svc": (40, True), "relay": (900, True), "hanae": (700, False), "ingrid": (700, False), "py": (500, True), "samuel": (600, False), "relya": (20, True)})
+    yes = [("lenlafuk service", "lenlafuk svc"), ("lenlafuk service", "lenlauk serivce"), ("qunvuni samuel", "sam qunvuni"), ("hanae nimakbok", "hanae b. nimakbok"), ("src/lasimemli_zebu.py", "lasimemli_zebu"), ("hinnomlavamrelay", "hinnomlavam relay"), ("wotfolxu relay", "wötfolxu relay"), ("wotfolxu relya", "wotfolxu relay"), ("oksa svc lenlafuk", "oksa lenlafuk service")]
     no = [("hanae nimakbok", "ingrid nimakbok"), ("milepipa service 2", "milepipa service 3"), ("lenlafuk service", "lenlafuk relay"), ("cedar xakbuxu", "amber xakbuxu"), ("service", "relay"), ("", "x")]
     assert all(j.score(a, b) > 0 for a, b in yes), [(a, b) for a, b in yes if not j.score(a, b)]
     assert not any(j.score(a, b) for a, b in no), [(a, b) for a, b in no if j.score(a, b)]
@@ -189,6 +210,6 @@ def test_variants_of_names_made_of_common_tokens(spark):
     said = ["smith john", "bob smith", "smith, bob", "john b. smith"]
     got = {tuple(r) for r in variant_names(records, "id", "canonical_name", "aliases", spark.createDataFrame([(n,) for n in said], "n string")).collect()}
     assert {r for r in got if r[0] in said} == {("smith john", "0"), ("john b. smith", "0"), ("bob smith", "1"), ("smith, bob", "1")}
-    j = Judge({"john": False, "smith": True})
+    j = Judge({"john": (40, False), "smith": (40, True)})
     assert all(j.score(a, b) > 0 for a, b in [("jhon smith", "john smith"), ("john smith", "jonh smith")])
     assert not j.score("john smith", "john jones") and not j.score("john", "john smith")
