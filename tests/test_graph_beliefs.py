@@ -1,5 +1,6 @@
 """Graph, belief, evaluation and orphan operators."""
 
+import random
 from datetime import datetime
 
 import numpy as np
@@ -12,9 +13,9 @@ from tracewell.functions.vectors import cosine, usable
 from tracewell.operators import beliefs as B
 from tracewell.operators import evaluation as V
 from tracewell.operators import graph as G
-from tracewell.operators.orphans import OrphanState, find_orphans, orphan_step, parent_index, references
+from tracewell.operators.orphans import OrphanLedger, findings, parent_rows, reference_rows, snapshots, track
 from tracewell.plans.memory import leader_clusters
-from tracewell.streaming.live import OrphanTracker
+from tracewell.streaming.live import track_orphans
 
 D = datetime
 
@@ -164,22 +165,68 @@ def test_scalars(spark):
     assert one(spark, usable(F.col("a"), 2), a=("array<float>", None)) is False
 
 
+def _refs(spark, rows):
+    return reference_rows("p", "t.ref", spark.createDataFrame(rows, "record_id string, ref string, at timestamp_ntz"), "ref", "record_id", "at")
+
+
+def _parents(spark, rows):
+    return parent_rows("p", spark.createDataFrame(rows, "id string, created timestamp_ntz"), "id", "created")
+
+
 def test_orphans(spark):
-    parents = parent_index(spark.createDataFrame([("P1 ", D(2026, 1, 5)), ("p1", D(2026, 1, 3)), ("p2", D(2026, 2, 1)), (None, D(2026, 1, 1))], "id string, created timestamp_ntz"), "id", "created")
-    rows = spark.createDataFrame([("r1", " P1", D(2026, 1, 4)), ("r2", "p2", D(2026, 1, 4)), ("r3", "gone", D(2026, 3, 4)), ("r3", "gone", D(2026, 3, 4)), ("r4", " ", D(2026, 1, 1)), ("r5", None, D(2026, 1, 1))], "record_id string, ref string, at timestamp_ntz")
-    got = {tuple(r) for r in find_orphans("t", rows, ["ref"], "record_id", "at", parents).collect()}
-    assert got == {("t", "ref", "r2", "late", "2026-01"), ("t", "ref", "r3", "missing", "2026-03")}
-    assert find_orphans("t", rows.limit(0), ["ref"], "record_id", "at", parents).count() == 0
+    parents = _parents(spark, [("P1 ", D(2026, 1, 5)), ("p1", D(2026, 1, 3)), ("p2", D(2026, 2, 1)), (None, D(2026, 1, 1)), ("p3", None)])
+    rows = [("r1", " P1", D(2026, 1, 4)), ("r2", "p2", D(2026, 1, 4)), ("r3", "gone", D(2026, 3, 4)), ("r3", "gone", D(2026, 3, 4)), ("r4", " ", D(2026, 1, 1)), ("r5", None, D(2026, 1, 1)), ("r6", "p3", D(2026, 1, 1)), ("r7", "p2", None), ("r8", "gone", None)]
+    ledger, history = track(parents, _refs(spark, rows), lambda at: F.coalesce(F.date_format(at, "yyyyMM").cast("int"), F.lit(0)))
+    got = {tuple(r) for r in findings(ledger.waiting()).collect()}
+    assert got == {("t", "ref", "r2", "late", "2026-01"), ("t", "ref", "r3", "missing", "2026-03"), ("t", "ref", "r8", "missing", None)}
+    counts = {(r.as_of, r.kind): r.n for r in snapshots(history).collect()}
+    assert counts == {(0, "missing"): 2, (202601, "missing"): 3, (202602, "missing"): 1, (202602, "late"): 1, (202603, "missing"): 2, (202603, "late"): 1}
+    ledger, history = track(parents.limit(0), _refs(spark, rows).limit(0))
+    assert history == [] and snapshots(history) is None
 
 
 def test_orphan_state_over_batches(spark):
-    refs = references(spark.createDataFrame([("r1", "a", D(2026, 1, 1)), ("r2", "b", D(2026, 1, 1))], "id string, ref string, at timestamp_ntz"), "ref", "id", "at")
-    none = parent_index(spark.createDataFrame([], "id string, t timestamp_ntz"), "id", "t")
-    tracker = OrphanTracker()
-    assert {(r.record_id, r.kind) for r in tracker.apply(refs, none).collect()} == {("r1", "missing"), ("r2", "missing")}
-    arrived = parent_index(spark.createDataFrame([("a", D(2026, 2, 1)), ("b", D(2025, 1, 1))], "id string, t timestamp_ntz"), "id", "t")
-    assert {(r.record_id, r.kind) for r in tracker.apply(refs.limit(0), arrived).collect()} == {("r1", "late")}
-    gone = spark.createDataFrame([("b",)], "key string")
-    assert {(r.record_id, r.kind) for r in tracker.apply(refs.limit(0), none, gone).collect()} == {("r1", "late"), ("r2", "missing")}
-    assert {tuple(r) for r in tracker.snapshot().collect()} == {("late", "2026-01", 1), ("missing", "2026-01", 1)}
-    assert isinstance(orphan_step(None, refs, none), OrphanState)
+    refs, none = _refs(spark, [("r1", "a", D(2026, 1, 1)), ("r2", "b", D(2026, 1, 1)), ("r3", "c", D(2026, 1, 1))]), _parents(spark, [])
+    ledger = OrphanLedger()
+    state = lambda: {(r.record_id, r.kind) for r in ledger.waiting().collect()}
+    ledger.apply(refs, none)
+    assert state() == {("r1", "missing"), ("r2", "missing"), ("r3", "missing")}
+    changed = ledger.apply(refs.limit(0), _parents(spark, [("a", D(2026, 2, 1)), ("b", D(2025, 1, 1))]))
+    assert {(r.record_id, r.kind) for r in changed.collect()} == {("r1", "late"), ("r2", None)} and state() == {("r1", "late"), ("r3", "missing")}
+    gone = lambda *k: spark.createDataFrame([("p", x) for x in k], "scope string, key string")
+    ledger.apply(refs.limit(0), none, gone("b"))
+    assert state() == {("r1", "late"), ("r2", "missing"), ("r3", "missing")}
+    # deleted and delivered again in one batch: there afterwards, by its new time
+    ledger.apply(refs.limit(0), _parents(spark, [("a", D(2025, 6, 1)), ("b", D(2026, 5, 1))]), gone("a", "b"))
+    assert state() == {("r2", "late"), ("r3", "missing")}
+    for _ in range(8):  # over a fold of the logs
+        ledger.apply(refs, none)
+    assert state() == {("r2", "late"), ("r3", "missing")} and len(ledger.parents) < 8
+    ledger.apply(refs.limit(0), none, gone("b", "nothing"))
+    assert state() == {("r2", "missing"), ("r3", "missing")}
+
+
+def test_orphan_batches_equal_one_pass(spark):
+    rng = random.Random(3)
+    day = lambda: D(2026, rng.randrange(1, 7), rng.randrange(1, 28))
+    parents = [(f"k{rng.randrange(40)}", day()) for _ in range(60)]
+    refs = [(f"r{i}", "k0" if i % 3 == 0 else f"k{rng.randrange(60)}", day()) for i in range(300)]
+    first = {}
+    for k, t in parents:
+        first[k] = min(t, first.get(k, t))
+    want = {(r, "missing" if k not in first else "late") for r, k, t in refs if k not in first or first[k] > t}
+    ledger, _ = track(_parents(spark, parents), _refs(spark, refs))
+    assert {(r.record_id, r.kind) for r in ledger.waiting().collect()} == want
+
+
+def test_orphans_from_a_stream(spark, tmp_path):
+    schema = "what string, scope string, key string, source string, record_id string, at timestamp"
+    write = lambda *rows: spark.createDataFrame(list(rows), schema).write.mode("append").parquet(str(tmp_path / "in"))
+    ledger = OrphanLedger()
+    write(("ref", "p", "a", "t.ref", "r1", D(2026, 1, 1)), ("ref", "p", "b", "t.ref", "r2", D(2026, 1, 1)))
+    for more in ([("parent", "p", "a", None, None, D(2025, 1, 1))], [("delete", "p", "a", None, None, D(2026, 2, 1))]):
+        track_orphans(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "c"), ledger).awaitTermination(120)
+        write(*more)
+    assert {r.record_id for r in ledger.waiting().collect()} == {"r2"}
+    track_orphans(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "c"), ledger).awaitTermination(120)
+    assert {r.record_id for r in ledger.waiting().collect()} == {"r1", "r2"}

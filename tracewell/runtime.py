@@ -5,15 +5,33 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``; only where it is unset (tests) make one."""
+    """Use the shared folder the cluster names in ``spark.checkpoint.dir``; only where it is unset and all runs on one
+    machine (tests) make one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tracewell-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tracewell-"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4()}"
+
+
+def stage(df: DataFrame, part: str) -> DataFrame:
+    """``df`` written below the shared checkpoint folder, parted by a column, so that later reads of a part skip the rest."""
+    path = shared_folder(df.sparkSession, "stage")
+    df.write.partitionBy(part).parquet(path)
+    return df.sparkSession.read.schema(df.select(*[c for c in df.columns if c != part], part).schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tracewell.operators.orphans import OrphanState, orphan_step
+from tracewell.operators.orphans import OrphanLedger
 from tracewell.operators.sessions import cluster_step
-from tracewell.runtime import cut
 
 
 def gap_sessions(events: DataFrame, key: str, ts: str, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
@@ -90,24 +89,13 @@ def on_threshold(stream: DataFrame, checkpoint: str, least: int, action: Callabl
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-class OrphanTracker:
-    """Orphan references as state over micro-batches of references, arriving parents and deletions.
+def track_orphans(stream: DataFrame, checkpoint: str, ledger: OrphanLedger) -> StreamingQuery:
+    """Advance a ledger by every micro-batch of a change feed (what: ``ref``, ``parent`` or ``delete``; scope, key,
+    source, record_id, at), at being the time of the reference or of the arrival."""
 
-    The state is two keyed frames that are cut after every batch; ``waiting`` is the current finding, and
-    ``history`` (period counts) is what snapshots are taken from.
-    """
-
-    def __init__(self) -> None:
-        self.state: OrphanState | None = None
-        self.refs: DataFrame | None = None
-
-    def apply(self, refs: DataFrame, parents: DataFrame, deleted: DataFrame | None = None) -> DataFrame:
-        """State after a batch: refs (key, record_id, at), parents (key, arrived), deleted (key)."""
-        state = orphan_step(self.state, refs, parents, deleted, self.refs)
-        self.state = OrphanState(cut(state.parents), cut(state.waiting))
-        self.refs = cut(refs if self.refs is None else self.refs.unionByName(refs).distinct())
-        return self.state.waiting
+    def step(df: DataFrame, _: int) -> None:
+        refs = df.filter("what = 'ref'").select("scope", "key", "source", "record_id", "at")
+        parents = df.filter("what = 'parent'").select("scope", "key", F.col("at").alias("arrived"))
+        ledger.apply(refs, parents, df.filter("what = 'delete'").select("scope", "key"))
 
-    def snapshot(self) -> DataFrame:
-        """(kind, period, n) of the orphans waiting now."""
-        return self.state.waiting.groupBy("kind", F.date_format("at", "yyyy-MM").alias("period")).agg(F.count("*").alias("n"))
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
