@@ -75,8 +75,25 @@ def test_neighbours_of_few(spark):
     assert [tuple(r) for r in nearest_pairs(vectors(spark, [("b", [1.0] * 8, ""), ("a", [2.0] * 8, "")]), 8).collect()] == [("a", "b")]
 
 
+def test_tree_walk_is_best_bin_first():
+    rng = np.random.default_rng(4)
+    x = neighbors._unit(np.concatenate([rng.normal(size=(60, 16))[:, None] + rng.normal(scale=0.3, size=(60, 40, 16))]).reshape(-1, 16).astype(np.float32))
+    tree = neighbors.fit_tree(x, 20)
+    order = tree.walk(x[::50], tree.leaves)
+    assert (np.sort(order, axis=1) == np.arange(tree.leaves)).all() and (tree.walk(x[::50], 5) == order[:, :5]).all()
+    leaf = tree.descend(x)
+    assert np.bincount(leaf, minlength=tree.leaves).min() > 0
+    s = x[::50] @ x.T
+    near = np.argsort(-s, axis=1)[:, 1:6]
+    few = tree.walk(x[::50], max(1, tree.leaves // 6))
+    assert np.mean([[leaf[j] in set(few[i]) for j in near[i]] for i in range(len(near))]) > 0.9
+    one = neighbors.fit_tree(x[:5], 20)
+    assert one.leaves == 1 and (one.walk(x[:3], 4) == 0).all() and (one.descend(x[:3]) == 0).all()
+
+
 def test_large_leaf_is_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(neighbors, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(neighbors, "GUEST_ROWS", 20)
     rng = np.random.default_rng(3)
     x = rng.normal(size=(120, 8)).astype(np.float32)
     got = {tuple(r) for r in nearest_pairs(vectors(spark, [(f"{i:03d}", [float(v) for v in x[i]], "") for i in range(120)]), 8, 3).collect()}
