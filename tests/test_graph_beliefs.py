@@ -49,7 +49,7 @@ def test_reinforce_and_decay(spark):
     assert sorted((r.t, round(r.weight, 6)) for r in G.decay(e, fired.limit(0), "s", "t", rule).collect()) == [("b", 4.85), ("d", 3.88), ("f", 7.0), ("g", 1.0)]
 
 
-@pytest.mark.parametrize("run", [G.label_propagation, G.label_propagation_sequential])
+@pytest.mark.parametrize("run", [G.label_propagation])
 def test_two_cliques(spark, run):
     a, b = [f"a{i}" for i in range(5)], [f"b{i}" for i in range(5)]
     edges = [(x, y, 1.0) for c in (a, b) for i, x in enumerate(c) for y in c[:i]] + [("a0", "b0", 0.1), ("a0", "ghost", 9.0)]

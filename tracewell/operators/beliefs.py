@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from tracewell.runtime import cut
 
 #: Signs of failure in a warning.
 FAILURE = ["fail"]
+#: Atoms that are compared under one word by one task, about, and counters it holds at once.
+MEETING_ROWS, CELLS = 16384, 4_000_000
 #: A firing: what a rule wants done; kind is derive, supersede or promote.
 FIRING = "rule string, kind string, form_id string, other_id string, content string, confidence double"
 
@@ -72,18 +76,88 @@ def lessons(forms: DataFrame, signs: list[str] = FAILURE) -> DataFrame:
 def keyword_scores(forms: DataFrame, atoms: DataFrame, least: float = 0.4) -> DataFrame:
     """(form_id, atom_id, score): share of the words of a form (content and triple, without stop words) that an atom has.
 
-    Instead of trying every pair, words are joined and the shared ones counted per pair, on row numbers and before the
-    shuffle; texts never travel with a pair. Forms and atoms without words give no row. The result itself grows with
-    forms times atoms, so callers test new atoms against active forms, not all against all.
+    A form of n words needs ceil(least * n) of them, so an atom that scores holds one of its n - ceil(least * n) + 1
+    rarest words. Forms meet atoms under those words only (words no atom has come first and cost nothing), so stock
+    words bring nobody together who has rarer ones. Who meets under a word is compared in one task, in numpy, and a pair
+    counts under the rarest of its words only; the atoms of a frequent word are dealt over several tasks. Forms and
+    atoms without words give no row. Words are compared as 64-bit hashes.
     """
     said = F.concat_ws(" ", "content", "subject", "predicate", "object")
-    f = cut(forms.select(F.monotonically_increasing_id().alias("fi"), F.col("id").alias("form_id"), keywords(said, CONFIRM_STOPWORDS).alias("fw")).filter(F.size("fw") > 0))
-    a = cut(atoms.select(F.monotonically_increasing_id().alias("ai"), F.col("id").alias("atom_id"), keywords(F.coalesce("content", F.lit("")), []).alias("aw")).filter(F.size("aw") > 0))
-    fw = f.select("fi", F.size("fw").alias("n"), F.explode("fw").alias("w"))
-    used = fw.select("w").distinct()
-    aw = a.select("ai", F.explode("aw").alias("w")).join(used, "w", "left_semi")
-    both = fw.join(aw, "w").groupBy("fi", "ai", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= F.lit(least) * F.col("n"))
-    return both.join(f.select("fi", "form_id"), "fi").join(a.select("ai", "atom_id"), "ai").select("form_id", "atom_id", (F.col("c") / F.col("n")).alias("score"))
+    hashed = lambda w: F.transform(w, lambda x: F.xxhash64(x))
+    f = cut(forms.select(F.monotonically_increasing_id().alias("rid"), F.col("id").alias("form_id"), hashed(keywords(said, CONFIRM_STOPWORDS)).alias("words")).filter(F.size("words") > 0))
+    a = cut(atoms.select(F.monotonically_increasing_id().alias("rid"), F.col("id").alias("atom_id"), hashed(keywords(F.coalesce("content", F.lit("")), [])).alias("words")).filter(F.size("words") > 0))
+    fw, aw = (x.select("rid", F.explode("words").alias("w")) for x in (f, a))
+    df = cut(aw.join(fw.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("df")))
+    # the words of a form, rarest first, and under which of them it meets
+    ranked = fw.join(df, "w", "left").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "w"))).alias("o"))
+    n = F.size("o")
+    lead = ranked.select("rid", F.transform("o", lambda s: s["w"]).alias("words"), F.posexplode(F.slice("o", 1, (n - F.ceil(F.lit(least) * n - 1e-9) + 1).cast("int"))).alias("place", "s")).filter("s.df > 0")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("df") / MEETING_ROWS)).cast("int")
+    lead = lead.select("rid", "words", "place", F.col("s.w").alias("w"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("s.df") / MEETING_ROWS)).cast("int") - 1)).alias("part"))
+    meets = aw.join(df.join(lead.select("w").distinct(), "w", "left_semi"), "w").select("rid", "w", F.pmod(F.xxhash64("rid"), parts).cast("int").alias("part")).join(a.select("rid", "words"), "rid")
+    rows = lead.select("w", "part", F.lit(False).alias("guest"), "rid", "place", "words").unionByName(meets.select("w", "part", F.lit(True).alias("guest"), "rid", F.lit(0).alias("place"), "words"))
+    scored = rows.repartition("w", "part").sortWithinPartitions("w", "part", "guest").mapInArrow(_meet(least), "fi long, ai long, score double")
+    named = scored.join(f.select(F.col("rid").alias("fi"), "form_id"), "fi").join(a.select(F.col("rid").alias("ai"), "atom_id"), "ai")
+    return named.select("form_id", "atom_id", "score")
+
+
+def _meet(least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Compares the forms under a word with the atoms under it; rows come in order of word, part and kind."""
+
+    def lists(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(rid, place, words of all rows, row of each word)"""
+        t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        words = t.column(5)
+        many = np.diff(words.offsets.to_numpy())
+        return t.column(3).to_numpy(), t.column(4).to_numpy(), words.flatten().to_numpy(), np.repeat(np.arange(len(many)), many)
+
+    def compare(forms: list[pa.RecordBatch], atoms: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fid, place, fw, frow = lists(forms)
+        n = np.bincount(frow, minlength=len(fid))
+        need = np.ceil(least * n - 1e-9)
+        pos = np.arange(len(fw)) - np.repeat(np.cumsum(n) - n, n)
+        o = np.argsort(fw, kind="stable")
+        key, form, early = fw[o], frow[o], (pos < place[frow])[o]
+        first = np.r_[0, np.cumsum(np.bincount(np.unique(key, return_inverse=True)[1]))]
+        names = key[first[:-1]]
+        step = max(1, CELLS // len(fid))
+        aid, _, aw, arow = lists(atoms)
+        at = np.minimum(np.searchsorted(names, aw), len(names) - 1)
+        held = names[at] == aw
+        at, arow = at[held], arow[held]
+        for lo in range(0, len(aid), step):
+            i, j = np.searchsorted(arow, [lo, lo + step])
+            w, r = at[i:j], arow[i:j] - lo
+            many = first[w + 1] - first[w]
+            entry = np.repeat(first[w], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            cell = np.repeat(r, many) * len(fid) + form[entry]
+            size = min(step, len(aid) - lo) * len(fid)
+            both = np.bincount(cell, minlength=size)
+            # met under a rarer word of the form
+            sooner = np.bincount(cell[early[entry]], minlength=size)
+            hit = np.nonzero((both >= np.tile(need, size // len(fid))) & (sooner == 0))[0]
+            x, y = hit // len(fid) + lo, hit % len(fid)
+            yield pa.RecordBatch.from_arrays([pa.array(fid[y]), pa.array(aid[x]), pa.array(both[hit] / n[y])], names=["fi", "ai", "score"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, forms, atoms, waiting = None, [], [], 0
+        for b in batches:
+            w, part, guest = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(zero_copy_only=False)
+            edge = np.r_[0, np.nonzero((w[1:] != w[:-1]) | (part[1:] != part[:-1]) | (guest[1:] != guest[:-1]))[0] + 1, len(w)] if len(w) else np.zeros(1, int)
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                if (w[lo], part[lo]) != now:
+                    if forms and atoms:
+                        yield from compare(forms, atoms)
+                    now, forms, atoms, waiting = (w[lo], part[lo]), [], [], 0
+                (atoms if guest[lo] else forms).append(b.slice(lo, hi - lo))
+                waiting += (hi - lo) * bool(guest[lo])
+                if waiting > MEETING_ROWS and forms:
+                    yield from compare(forms, atoms)
+                    atoms, waiting = [], 0
+        if forms and atoms:
+            yield from compare(forms, atoms)
+
+    return run
 
 
 def condition_scores(forms: DataFrame, atoms: DataFrame, least: float = 0.3) -> DataFrame:

@@ -14,8 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.runtime import cut
+
 #: Scores from which a contradicted fact is invalidated, or sent to review.
 INVALIDATE, REVIEW = 0.85, 0.5
+#: Patterns that one pass over the texts tests.
+PROBE_BLOCK = 4096
 
 
 def hash_embedding(texts: list[str], dim: int = 64) -> list[list[float]]:
@@ -100,12 +104,20 @@ def probe_texts(files: DataFrame, probes: DataFrame, most: int = 50) -> DataFram
     """(form_id, outcome, confirms, denies) from pattern probes over texts.
 
     files: (file, text); probes: (form_id, probe_id, pattern, denies), patterns being substrings, any case. A probe hits
-    if any file holds its pattern; ``most`` matches of a probe are counted. Probes are few, so each text is read once
-    and tested for all of them inside its task; hits are combined before the shuffle.
+    if any file holds its pattern; ``most`` matches of a probe are counted. Distinct patterns are dealt into blocks of about
+    ``PROBE_BLOCK``; a pass over the texts tests one block, which is all that is sent to the tasks, and hits are combined
+    before the shuffle. Empty and null patterns hit nothing.
     """
-    packed = probes.select(F.struct("form_id", "probe_id", F.lower("pattern").alias("pattern"), "denies").alias("p")).agg(F.collect_list("p").alias("ps"))
-    hits = files.select("file", F.lower("text").alias("t")).join(F.broadcast(packed)).select("file", F.explode(F.filter("ps", lambda p: F.contains(F.col("t"), p["pattern"]))).alias("p"))
-    hits = hits.groupBy("p.form_id", "p.probe_id").agg(F.least(F.count("*"), F.lit(most)).alias("n"))
+    patterns = cut(probes.select(F.lower("pattern").alias("pattern")).filter("pattern != ''").distinct())
+    blocks = max(1, -(-patterns.count() // PROBE_BLOCK))
+    patterns = patterns.withColumn("block", F.pmod(F.xxhash64("pattern"), F.lit(blocks)))
+    texts, hits = files.select("file", F.lower("text").alias("t")), None
+    for k in range(blocks):
+        packed = patterns.filter(F.col("block") == k).agg(F.collect_list("pattern").alias("ps"))
+        found = texts.join(F.broadcast(packed)).select(F.explode(F.filter("ps", lambda p: F.contains(F.col("t"), p))).alias("pattern"))
+        found = found.groupBy("pattern").agg(F.least(F.count("*"), F.lit(most)).alias("n"))
+        hits = found if hits is None else hits.unionByName(found)
+    hits = probes.select("form_id", "probe_id", F.lower("pattern").alias("pattern")).join(hits, "pattern").select("form_id", "probe_id", "n")
     rows = probes.join(hits, ["form_id", "probe_id"], "left").groupBy("form_id").agg(F.count_if((F.col("n") > 0) & ~F.col("denies")).alias("confirms"), F.count_if((F.col("n") > 0) & F.col("denies")).alias("denies"))
     outcome = F.when(F.col("confirms") > F.col("denies"), "confirmed").when(F.col("denies") > F.col("confirms"), "disconfirmed").otherwise("inconclusive")
     return rows.select("form_id", outcome.alias("outcome"), "confirms", "denies")

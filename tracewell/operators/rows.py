@@ -36,20 +36,25 @@ def merge_entities(old: DataFrame, new: DataFrame) -> DataFrame:
     first_seen, description and embedding only replaced by known values.
 
     Both have (canonical_name, entity_type, aliases, atom_ids, description, embedding, first_seen, last_seen, seq), seq
-    giving the order of arrival; null arrays count as empty. Ids of one entity are united as a set of rows before
-    they are gathered, so a repeated id costs nothing.
+    giving the order of arrival; null arrays count as empty. Array elements are united as a set of rows before they are
+    gathered, so a repeated id costs nothing; they come out sorted.
     """
     rows = old.unionByName(new)
+
+    def united(column: str) -> DataFrame:
+        each = rows.select("canonical_name", F.explode(column).alias("x")).filter("x is not null").distinct()
+        return each.groupBy("canonical_name").agg(F.array_sort(F.collect_list("x")).alias(column))
+
     one = rows.groupBy("canonical_name").agg(
         F.max_by("entity_type", "seq").alias("entity_type"),
         F.min_by("first_seen", "seq").alias("first_seen"),
         F.max("last_seen").alias("last_seen"),
         F.max_by("description", F.when(F.col("description").isNotNull(), F.col("seq"))).alias("description"),
         F.max_by("embedding", F.when(F.col("embedding").isNotNull(), F.col("seq"))).alias("embedding"),
-        F.array_distinct(F.flatten(F.collect_list(F.coalesce("aliases", F.array())))).alias("aliases"),
-        F.array_distinct(F.flatten(F.collect_list(F.coalesce("atom_ids", F.array())))).alias("atom_ids"),
     )
-    return one.withColumn("atom_count", F.size("atom_ids"))
+    one = one.join(united("aliases"), "canonical_name", "left").join(united("atom_ids"), "canonical_name", "left")
+    none = F.array().cast("array<string>")
+    return one.withColumns({"aliases": F.coalesce("aliases", none), "atom_ids": F.coalesce("atom_ids", none)}).withColumn("atom_count", F.size("atom_ids"))
 
 
 def set_flag(df: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:

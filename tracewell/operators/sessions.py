@@ -114,7 +114,10 @@ def post_clear(sessions: DataFrame, key: str, started: str, ended: str, limit: i
 
 
 def cluster_step(state: dict | None, row: dict) -> tuple[bool, bool]:
-    """(new cluster, the old one is closed for sure) for the next turn of a key; state is the open cluster."""
+    """(new cluster, the old one is closed for sure) for the next turn of a key; state is the open cluster.
+
+    The intent is compared with that of the turn just before, and a turn without one changes nothing; the overlap is
+    the share of the turn's own things that the cluster has, a half where either has none."""
     if state is None:
         return True, True
     gap = (row["ts"] - state["last"]).total_seconds()
@@ -125,7 +128,7 @@ def cluster_step(state: dict | None, row: dict) -> tuple[bool, bool]:
         return True, False
     if gap > SOFT_GAP:
         mine, other = set(row["things"]), state["things"]
-        overlap = len(mine & other) / len(mine | other) if mine and other else 0.5
+        overlap = len(mine & other) / len(mine) if mine and other else 0.5
         if overlap < 0.3:
             return True, False
     return (True, True) if state["size"] >= MAX_CLUSTER else (False, False)
@@ -146,7 +149,7 @@ def _cluster(rows: list[dict]) -> Iterator[int]:
             clusters.append(state)
         state["last"], state["size"] = row["ts"], state["size"] + 1
         state["things"] |= set(row["things"])
-        state["intent"] = row["intent"] or state["intent"]
+        state["intent"] = row["intent"]
         member.append(len(clusters) - 1)
     # neighbours are merged where the earlier one ended provisionally, soon before, with a thing in common
     home = list(range(len(clusters)))
@@ -204,25 +207,39 @@ def token_chunks(rows: DataFrame, key: str, seq: str, tokens: str, target: int =
     """(key, chunk_no, seqs, tokens): greedy chunks of whole items up to ``target`` tokens; the next chunk starts with the
     last items of the one before, up to ``overlap`` tokens. An item larger than the target is a chunk of its own.
 
-    The fold runs inside the engine over the ordered items of each key.
+    A chunk depends on all chunks before it, so the items of a key are walked in order, by one task; they stream through
+    it, and only the open chunk is held.
     """
-    item = F.struct(F.col(seq).cast("long").alias("s"), F.coalesce(F.col(tokens), F.lit(0)).cast("long").alias("t"))
-    grouped = rows.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kind = "struct<done: array<array<struct<s: bigint, t: bigint>>>, open: array<struct<s: bigint, t: bigint>>, fresh: int>"
-    size = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y["t"])
-    empty = F.expr("cast(array() as array<struct<s: bigint, t: bigint>>)")
-
-    def step(acc: Column, x: Column) -> Column:
-        full = (F.size(acc["open"]) > 0) & (acc["fresh"] > 0) & (size(acc["open"]) + x["t"] > target)
-        tail = F.aggregate(F.reverse(acc["open"]), empty, lambda keep, y: F.when(size(keep) + y["t"] <= overlap, F.concat(F.array(y), keep)).otherwise(keep))
-        seed = F.when(size(tail) + x["t"] <= target, tail).otherwise(empty)
-        return F.struct(
-            F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"),
-            F.when(full, F.concat(seed, F.array(x))).otherwise(F.concat(acc["open"], F.array(x))).alias("open"),
-            F.when(full, 1).otherwise(acc["fresh"] + 1).alias("fresh"),
-        )
-
-    start = F.expr(f"cast(named_struct('done', array(), 'open', array(), 'fresh', 0) as {kind})")
-    chunks = F.aggregate("items", start, step, lambda acc: F.when(F.size(acc["open"]) > 0, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]))
-    out = grouped.select(key, F.posexplode(chunks).alias("chunk_no", "c"))
-    return out.select(key, "chunk_no", F.transform("c", lambda x: x["s"]).alias("seqs"), size(F.col("c")).alias("tokens"))
+    kind = rows.schema[key].dataType.simpleString()
+    items = rows.select(F.col(key).alias("k"), F.col(seq).cast("long").alias("s"), F.coalesce(F.col(tokens), F.lit(0)).cast("long").alias("t"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        missing = object()
+        now, no, open_, fresh, total = missing, 0, [], 0, 0
+        for pdf in frames:
+            out: list[tuple] = []
+            for k, s, t in pdf.itertuples(index=False):
+                k = None if k is None or k != k else k
+                if now is missing or k != now:
+                    if open_:
+                        out.append((now, no, [i for i, _ in open_], total))
+                    now, no, open_, fresh, total = k, 0, [], 0, 0
+                if open_ and fresh and total + t > target:
+                    out.append((now, no, [i for i, _ in open_], total))
+                    no, fresh = no + 1, 0
+                    tail, room, at = [], overlap, len(open_)
+                    while at:
+                        at -= 1
+                        if open_[at][1] <= room:
+                            tail.insert(0, open_[at])
+                            room -= open_[at][1]
+                    used = sum(x for _, x in tail)
+                    open_, total = (tail, used) if used + t <= target else ([], 0)
+                open_, fresh, total = [*open_, (s, t)], fresh + 1, total + t
+            if out:
+                yield pd.DataFrame(out, columns=["k", "chunk_no", "seqs", "tokens"])
+        if open_:
+            yield pd.DataFrame([(now, no, [i for i, _ in open_], total)], columns=["k", "chunk_no", "seqs", "tokens"])
+
+    walked = items.repartition("k").sortWithinPartitions("k", "s", "t").mapInPandas(run, f"k {kind}, chunk_no int, seqs array<long>, tokens long")
+    return walked.withColumnRenamed("k", key)

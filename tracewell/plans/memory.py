@@ -332,13 +332,15 @@ def six_signal_score(spark: SparkSession, d: str) -> DataFrame:
     return g.select("topic", F.round("score", 6).alias("score"), V.gate(F.col("score"), F.col("sessions"), F.col("weeks")).alias("promote"))
 
 
-@query(f"SELECT CASE WHEN m > 0 THEN 'merged' ELSE 'single' END AS kind, count(*) AS n, sum(atoms) AS atoms FROM (SELECT id, count(*) - 1 AS m, len(list_distinct(flatten(list(atom_ids)))) AS atoms FROM entities GROUP BY id) GROUP BY 1")
+@query("""WITH o AS (SELECT *, struct_pack(u := updated_at, c := atom_count) AS seq FROM entities), al AS (SELECT id, array_to_string(list(DISTINCT a ORDER BY a), '|') AS aliases FROM (SELECT id, unnest(aliases) AS a FROM entities) WHERE a IS NOT NULL GROUP BY 1),
+  ac AS (SELECT id, count(DISTINCT a) AS atom_count FROM (SELECT id, unnest(atom_ids) AS a FROM entities) WHERE a IS NOT NULL GROUP BY 1)
+  SELECT o.id, arg_max(entity_type, seq) AS entity_type, arg_min(first_seen, seq) AS first_seen, max(last_seen) AS last_seen, arg_max(description, seq) FILTER (description IS NOT NULL) AS description, coalesce(any_value(al.aliases), '') AS aliases, coalesce(any_value(ac.atom_count), 0)::INT AS atom_count
+  FROM o LEFT JOIN al ON al.id = o.id LEFT JOIN ac ON ac.id = o.id GROUP BY o.id""")
 def merge_upsert(spark: SparkSession, d: str) -> DataFrame:
     """All deliveries of the entities merged into one row each."""
-    e = table(spark, d, "entities").select(F.col("id").alias("canonical_name"), "entity_type", "aliases", "atom_ids", "description", "embedding", "first_seen", "last_seen", F.struct("updated_at", "atom_count").cast("string").alias("seq"))
+    e = table(spark, d, "entities").select(F.col("id").alias("canonical_name"), "entity_type", "aliases", "atom_ids", "description", "embedding", "first_seen", "last_seen", F.struct("updated_at", "atom_count").alias("seq"))
     merged = R.merge_entities(e.limit(0), e)
-    times = e.groupBy("canonical_name").agg(F.count("*").alias("c"))
-    return merged.join(times, "canonical_name").groupBy(F.when(F.col("c") > 1, "merged").otherwise("single").alias("kind")).agg(F.count("*").alias("n"), F.sum("atom_count").alias("atoms"))
+    return merged.select(F.col("canonical_name").alias("id"), "entity_type", "first_seen", "last_seen", "description", F.array_join("aliases", "|").alias("aliases"), "atom_count")
 
 
 @query(f"SELECT id, 'old' AS origin FROM {A} WHERE project < 'm' UNION ALL SELECT id, 'new' FROM {A} WHERE project >= 'm' ")

@@ -123,12 +123,19 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
 
 
-@query()
+@query("""SELECT user_id, min(ts)::TIMESTAMP AS start, (max(ts) + INTERVAL 30 MINUTE)::TIMESTAMP AS "end", count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM
+  (SELECT *, CASE WHEN date_diff('microsecond', lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id), ts) > 1800000000 THEN 1 ELSE 0 END AS new FROM events)) GROUP BY user_id, s""")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    """Gap sessions as a stream over all events; the last session of each user stays open."""
+    """Gap sessions as a stream over all events; a last row far behind the others carries the watermark past every open
+    session, so that all of them close."""
     at = _stream_dir(spark)
-    live.gap_sessions(_events(spark, d), "user_id", "ts").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/c").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("user_id long, start timestamp, end timestamp, n long").parquet(f"{at}/out")
+    events = table(spark, d, "events").select("user_id", "ts")
+    events.agg(F.lit(None).cast("long").alias("user_id"), (F.max("ts") + F.expr("interval 90 days")).alias("ts")).write.parquet(f"{at}/end")
+    end = spark.readStream.schema(events.schema).parquet(f"{at}/end")
+    rows = _events(spark, d).select("user_id", "ts").unionByName(end)
+    live.gap_sessions(rows, "user_id", "ts", late="40 days").writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/c").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.schema("user_id long, start timestamp, end timestamp, n long").parquet(f"{at}/out")
+    return out.filter("user_id is not null").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
 @query("SELECT event_id, user_id, event_type FROM events")

@@ -60,12 +60,13 @@ def turn_clusters(turns: DataFrame, key: str, ts: str, intent: str, things: str,
             for pdf in frames:
                 for row in pdf.sort_values("ts").to_dict("records"):
                     row["things"] = list(row["things"]) if row["things"] is not None else []
+                    row["intent"] = (row["intent"] or "").strip()[:80]
                     new, closed = cluster_step(now, row)
                     if new:
                         if now is not None:
                             close(closed)
                         now = {"first": row["ts"], "things": set(), "intent": "", "size": 0}
-                    now["last"], now["size"], now["intent"] = row["ts"], now["size"] + 1, row["intent"] or now["intent"]
+                    now["last"], now["size"], now["intent"] = row["ts"], now["size"] + 1, row["intent"]
                     now["things"] |= set(row["things"])
             if now is not None:
                 state.update((now["first"], now["last"], now["intent"], sorted(now["things"]), now["size"]))
@@ -77,14 +78,25 @@ def turn_clusters(turns: DataFrame, key: str, ts: str, intent: str, things: str,
 
 
 def on_threshold(stream: DataFrame, checkpoint: str, least: int, action: Callable[[int], None]) -> StreamingQuery:
-    """Call ``action`` with the number of rows since the last call whenever ``least`` new ones have come."""
-    waiting = [0]
-
-    def step(df: DataFrame, _: int) -> None:
-        waiting[0] += df.count()
-        if waiting[0] >= least:
-            action(waiting[0])
-            waiting[0] = 0
+    """Call ``action`` with the number of rows since the last call whenever ``least`` new ones have come.
+
+    The counter lies beside the checkpoint, one small file per batch, so that a restart goes on from it and a batch that
+    is run again counts once."""
+    spark = stream.sparkSession
+    schema = "batch long, waiting long"
+
+    def step(df: DataFrame, batch: int) -> None:
+        try:
+            seen = spark.read.schema(schema).json(f"{checkpoint}/waiting").filter(F.col("batch") < batch).agg(F.max_by("waiting", "batch").alias("w")).first()["w"] or 0
+        except Exception as e:  # noqa: BLE001
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            seen = 0
+        waiting = seen + df.count()
+        if waiting >= least:
+            action(waiting)
+            waiting = 0
+        spark.createDataFrame([(batch, waiting)], schema).coalesce(1).write.mode("overwrite").json(f"{checkpoint}/waiting/batch={batch:012d}")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
