@@ -156,6 +156,16 @@ def test_scalars(spark):
     assert one(spark, X.section(F.col("t"), "Next"), t=("string", "# a\n## Now\nx\n## Next\ny\nz\n## End\n")) == "y\nz"
     assert one(spark, X.labelled_line(F.col("t"), "Goal"), t=("string", "a\nGoal:  win \nb")) == "win"
     assert one(spark, X.commit_message(F.col("t")), t=("string", 'git commit -m "Fix it"')) == "Fix it"
+    assert one(spark, X.commit_message(F.col("t")), t=("string", "git commit -m \"$(cat <<'EOF'\nPay $5\nEOF\n)\"")) == "Pay $5" and one(spark, X.commit_message(F.col("t")), t=("string", 'git commit -m "Cost $5"')) == "Cost $5"
+    assert tuple(one(spark, X.commit_flags(F.col("t")), t=("string", "git commit --amend"))) == (True, False, False)
+    wrapped = "<command-name>/go</command-name>\n<command-message>go</command-message> <command-args> a b </command-args>"
+    assert one(spark, X.rewrite_command(F.col("t")), t=("string", wrapped)) == "/go a b" and one(spark, X.rewrite_command(F.col("t")), t=("string", " hi ")) == "hi"
+    assert [one(spark, X.asks(F.col("t")), t=("string", v)) for v in ("HOW does it", "it ends", None)] == [True, False, False]
+    assert [one(spark, X.meaningful(F.col("t")), t=("string", v)) for v in (" Unknown ", "short text", "long enough text", None)] == [False, False, True, False]
+    assert one(spark, X.loads_or_empty(F.col("t")), t=("string", '["a", "b", "a"]')) == ["a", "b"] and one(spark, X.loads_or_empty(F.col("t")), t=("string", "no")) == []
+    assert one(spark, X.probe_keywords(F.col("t")), t=("string", "Chose Redis and redis for the 2nd cache_key")) == ["Redis", "cache_key"]
+    assert one(spark, X.short_hash(F.col("t")), t=("string", "x")) == "11f6ad8ec52a2984" and one(spark, X.has_transcript_error(F.col("t")), t=("string", "Exit code 1"))
+    assert [one(spark, X.valid_pair(F.col("q"), F.lit("right"), F.lit("s")), q=("string", v)) for v in ("a question", " short  q ", None)] == [True, False, False]
     assert one(spark, X.strip_ansi(F.col("t")), t=("string", "\x1b[31mred\x1b[0m")) == "red"
     assert one(spark, X.strip_tags(F.col("t"), ["sys"]), t=("string", "a<sys>b\nc</sys>d")) == "ad"
     assert one(spark, X.file_paths(F.col("t")), t=("array<string>", ['{"file_path": "/a/b"}', "no json", '{"command": "ls"}'])) == ["/a/b"]

@@ -57,6 +57,69 @@ def test_versioned_table(spark, tmp_path):
     assert sorted(map(tuple, t.read().collect())) == [(1, "a"), (2, "b")] and t.version() == 4 and t.log().count() == 4
 
 
+def test_named_snapshots_forks_and_locks(spark, tmp_path):
+    df = lambda *r: spark.createDataFrame(r, "id int, v string")
+    rows = lambda t: sorted(map(tuple, t.read().collect()))
+    t = O.VersionedTable(spark, str(tmp_path / "t"))
+    with pytest.raises(ValueError):
+        t.snapshot("empty")
+    t.append(df((1, "a")), ["id"])
+    t.snapshot("first")
+    t.append(df((1, "z"), (2, "b")), ["id"])
+    assert len(t._last()["parts"]) == 2 and t._last()["rows"] == 2  # an append adds a folder
+    t.snapshot("second")
+    with pytest.raises(ValueError):
+        t.snapshot("first")
+    assert [r.name for r in t.snapshots().collect()] == ["first", "second"]
+    t.checkout("first")
+    assert rows(t) == [(1, "a")]
+    t.checkout("second")
+    assert rows(t) == [(1, "a"), (2, "b")]
+    with pytest.raises(ValueError):
+        t.checkout("third")
+    name, fork = O.fork_experiment(t, spark.createDataFrame([("007-x",)], "n string"), "n", "try", str(tmp_path / "x"))
+    fork.append(df((3, "c")), ["id"])
+    assert name == "008-try" and len(rows(fork)) == 3 and len(rows(t)) == 2
+    t.rollback(), t.rollback()
+    assert len(rows(t)) in (1, 2)
+    lock = lambda: O.SingleWriter(spark, str(tmp_path / "lock"))
+    with lock() as one, lock() as two:
+        assert one and not two
+    with lock() as again:
+        assert again
+
+
+def test_notes_index_html_and_logs(spark, tmp_path):
+    index = spark.createDataFrame([("# Index",), ("- [One](n1)",)], "line string")
+    more = spark.createDataFrame([("n1", "One"), ("n2", "Two"), ("n2", "Two")], "id string, title string")
+    once = O.index_append(index, more)
+    assert sorted(r.line for r in once.collect()) == ["# Index", "- [One](n1)", "- [Two](n2)"] and O.index_append(once, more).count() == 3
+    O.export_html(spark.createDataFrame([(1, "</script>"), (2, None)], "a int, b string").coalesce(1), str(tmp_path / "h"), "T")
+    page = "".join(r.value for r in spark.read.text(str(tmp_path / "h")).collect())
+    assert page.count("</script>") == 1 and '"b":null' in page
+    log = spark.createDataFrame([("a", "ok"), ("b", "error"), ("c", "success"), ("d", "queued"), (None, "ok"), ("a", "error")], "session_id string, status string")
+    done, tried = O.status_sets(log)
+    assert sorted(r[0] for r in done.collect()) == ["a", "c"] and sorted(r[0] for r in tried.collect()) == ["a", "b", "c"]
+    old = spark.createDataFrame([("p", None), ("q", "k")], "kind string, u string")
+    assert O.verify_migration(old, O.backfill(old, "u", "kind", {}, "other"), "u") == {"before": 2, "after": 2, "unfilled": 0}
+
+
+def test_documents_notes_and_hooks(spark, tmp_path):
+    files = spark.createDataFrame([("/w/-home-proj/a.md", "---\ntitle: \"T\"\nproject: p\ndate: 2026-01-02\n---\nbody"), ("/w/-home-proj/b.md", "# Head\ntext"), ("/w/-home-proj/c.md", "plain"), ("/w/x/d.md", " ")], "file string, text string")
+    got = {r.title: (r.project, r.text) for r in I.document_rows(files).collect()}
+    assert got == {"T": ("p", "body"), "Head": ("proj", "# Head\ntext"), "c": ("proj", "plain")}
+    assert I.note_row(spark, "first line\nmore", "p").first().title == "first line"
+    with pytest.raises(ValueError):
+        I.note_row(spark, " \n", "p")
+    lines = spark.createDataFrame([('{"session_id": "s", "cwd": "/a/b", "tool_name": "Bash", "tool_input": {"command": "ls"}, "tool_response": "fatal: no", "timestamp": "2026-01-01T00:00:00Z"}',), ("junk",), ('{"cwd": "/a"}',)], "value string")
+    rows = I.hook_events(lines, "value").collect()
+    assert [(r.session_id, r.project, r.tool, r.had_error, len(r.input_hash)) for r in rows] == [("s", "b", "Bash", True, 16)]
+    chunks = spark.createDataFrame([(1, k, f"c{k}") for k in range(6)], "doc int, chunk int, text string")
+    assert sorted(r.chunk for r in I.pull_sections(chunks, "doc", "chunk", spark.createDataFrame([(1, 0), (1, 4)], "doc int, chunk int"), 1).collect()) == [0, 1, 3, 4, 5]
+    (tmp_path / "m.json").write_text('{"k": {"a": 1}, "l": {"a": 2}}')
+    assert sorted(map(tuple, I.read_map_file(spark, str(tmp_path / "m.json"), "struct<a: int>").collect())) == [("k", 1), ("l", 2)]
+
+
 def test_queue_and_names(spark, tmp_path):
     q = spark.createDataFrame([("a",)], "session_id string")
     q = O.queue_add(q, spark.createDataFrame([("a",), ("b",)], "session_id string"))

@@ -44,6 +44,13 @@ def strip_tags(c: Column, tags: list[str]) -> Column:
     return F.trim(c)
 
 
+def rewrite_command(c: Column) -> Column:
+    """A message that is a wrapped command as ``/name arguments``; other texts as they are. Trimmed."""
+    wrapped = r"(?s)^<command-name>/(\w+)</command-name>\s*<command-message>\w+</command-message>\s*<command-args>(.*?)</command-args>"
+    name, args = F.regexp_extract(c, wrapped, 1), F.trim(F.regexp_extract(c, wrapped, 2))
+    return F.trim(F.when(name != "", F.concat(F.lit("/"), name, F.when(args != "", F.concat(F.lit(" "), args)).otherwise(""))).otherwise(c))
+
+
 def section(c: Column, heading: str) -> Column:
     """Text below ``## heading`` up to the next heading of that level or the end; empty if there is none."""
     return F.trim(F.regexp_extract(c, rf"(?s)(?:^|\n)## {heading}[^\n]*\n(.*?)(?=\n## |$)", 1))
@@ -70,10 +77,49 @@ def normalized_block_hash(c: Column) -> Column:
 
 
 def commit_message(c: Column) -> Column:
-    """Message of a ``git commit`` command: the quoted -m argument, else the first here-document; 200 characters."""
-    quoted = F.regexp_extract(c, r"-m\s+[\"']([^\"'$]+)[\"']", 1)
-    here = F.regexp_extract(c, r"(?s)<<\s*'?EOF'?\n(.*?)\nEOF", 1)
-    return F.substring(F.when(quoted != "", quoted).otherwise(here), 1, 200)
+    """Message of a ``git commit`` command: the quoted -m argument, else the here-document; trimmed, 200 characters. An
+    argument that itself opens a here-document is read from that."""
+    quoted = F.trim(F.regexp_extract(c, r"(?s)-m\s+[\"'](.*?)[\"']", 1))
+    here = F.trim(F.regexp_extract(c, r"(?s)EOF['\"]?\s*\n(.*?)\n\s*EOF", 1))
+    return F.substring(F.when((quoted != "") & ~quoted.startswith("$("), quoted).otherwise(here), 1, 200)
+
+
+def commit_flags(c: Column) -> Column:
+    """(amend, no_verify, co_author): what a ``git commit`` command asks for; a struct, all false for null."""
+    has = lambda s: F.coalesce(c.contains(s), F.lit(False))
+    return F.struct(has("--amend").alias("amend"), has("--no-verify").alias("no_verify"), has("Co-Authored-By").alias("co_author"))
+
+
+# What makes a user's turn look like a question, and texts that say nothing.
+QUESTION = r"(?i)\?|how |why |what |wait |i don't|doesn't|so you|that means|i see|explain|confused|understand|difference between|what's the"
+PLACEHOLDERS = ["", "none", "unknown", "n/a", "[haiku unavailable]", "[no transcript available]", "(not present this session)", "[haiku unavailable — session cleared]"]
+
+
+def asks(c: Column) -> Column:
+    """Whether a text has a sign of a question; false for null."""
+    return F.coalesce(c.rlike(QUESTION), F.lit(False))
+
+
+def meaningful(c: Column) -> Column:
+    """Whether a text says something: no placeholder, and more than ten characters when trimmed; false for null."""
+    t = F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.coalesce(~F.lower(t).isin(PLACEHOLDERS) & (F.length(t) > 10), F.lit(False))
+
+
+def valid_pair(question: Column, answer: Column, session: Column) -> Column:
+    """Whether a question with its answer may be used: all three known, at least 10 and 5 characters when trimmed."""
+    size = lambda c: F.length(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    return F.coalesce((size(question) >= 10) & (size(answer) >= 5) & session.isNotNull(), F.lit(False))
+
+
+def loads_or_empty(c: Column) -> Column:
+    """A JSON list of strings as an array, each string once in order; empty for null and for what is no such list."""
+    return F.array_distinct(F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>")))
+
+
+def short_hash(c: Column, kind: str = "sha1", length: int = 16) -> Column:
+    """The first hexadecimal digits of a sha1, sha256 or md5 of a text."""
+    return F.substring({"sha1": F.sha1, "sha256": lambda x: F.sha2(x, 256), "md5": F.md5}[kind](c), 1, length)
 
 
 def words(c: Column) -> Column:
@@ -148,6 +194,30 @@ def has_error(c: Column) -> Column:
     return c.rlike("Error:|error:|ERROR|Traceback|FAILED|fatal:")
 
 
+# Signs of an error in a tool's answer within a transcript.
+TRANSCRIPT_ERRORS = ["Error:", "error:", "Traceback", "FAILED", "fatal:", "Exit code 1"]
+
+
+def has_transcript_error(c: Column) -> Column:
+    """As ``has_error``, by the signs that count in transcripts; false for null."""
+    return F.coalesce(F.reduce(F.array(*[c.contains(e) for e in TRANSCRIPT_ERRORS]), F.lit(False), lambda a, b: a | b), F.lit(False))
+
+
+# Words that are no keyword of a probe.
+PROBE_STOPWORDS = [
+    "the", "a", "an", "is", "was", "are", "were", "be", "been", "that", "this", "it", "of", "in", "on", "at", "to", "for", "will", "would", "should", "could", "always", "never", "not",
+    "and", "or", "but", "with", "by", "from", "as", "if", "so", "do", "does", "did", "have", "has", "had", "we", "i", "you", "chose", "use", "used", "add", "after", "before", "when", "then",
+]
+
+
+def probe_keywords(c: Column) -> Column:
+    """Words of three letters or more, no digit first, in order of first use, without stop words; case is kept, and words
+    that differ in case only are one, the first."""
+    found = F.filter(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(\b[a-zA-Z_]\w{2,}\b)"), 1), lambda w: ~F.lower(w).isin(PROBE_STOPWORDS))
+    low = F.transform(found, lambda w: F.lower(w))
+    return F.filter(found, lambda w, k: F.array_position(low, F.lower(w)) == k + 1)
+
+
 def file_paths(tool_inputs: Column) -> Column:
     """Paths named in an array of JSON tool inputs; inputs that are no JSON give none."""
     got = F.flatten(F.transform(tool_inputs, lambda j: F.array(*[F.get_json_object(j, f"$.{k}") for k in ("file_path", "path", "pattern", "command")])))

@@ -20,9 +20,20 @@ def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int,
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col(rank) <= n)
 
 
+def new_rows(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of ``new`` whose key is not in ``old``, one per key."""
+    return new.dropDuplicates(key).join(old.select(*key), key, "left_anti").select(*new.columns)
+
+
 def insert_missing(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """``old`` and the rows of ``new`` whose key is not there yet, one per key (idempotent insert)."""
-    return old.unionByName(new.dropDuplicates(key).join(old.select(*key), key, "left_anti"))
+    return old.unionByName(new_rows(old, new, key))
+
+
+def expire(rows: DataFrame, changes: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """``rows`` with ``column`` set to the time of a change (keys, at) where it is still null; others stay as they are."""
+    c = changes.groupBy(*keys).agg(F.min("at").alias("__at"))
+    return rows.join(c, keys, "left").withColumn(column, F.coalesce(column, "__at")).select(*rows.columns)
 
 
 def replace_rows(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.functions.text import has_error
 from tracewell.functions.times import parse_time
 
 #: Event lines of a transcript.
@@ -12,12 +13,16 @@ TRANSCRIPT = "entrypoint string, type string, uuid string, timestamp string, ses
 BLOCKS = "array<struct<type: string, text: string, name: string, input: string>>"
 
 
-def read_lines(spark: SparkSession, path: str, glob: str | None = None, since: str | None = None) -> DataFrame:
-    """(file, line, pos) of all text files below ``path``; optional name pattern and least modification time."""
+def read_lines(spark: SparkSession, path: str, glob: str | None = None, since: str | None = None, without: list[str] | None = None) -> DataFrame:
+    """(file, line, pos) of all text files below ``path``; optional name pattern, least modification time, and parts of
+    paths that leave a file out."""
     r = spark.read.option("recursiveFileLookup", "true")
     for k, v in (("pathGlobFilter", glob), ("modifiedAfter", since)):
         r = r.option(k, v) if v else r
-    return r.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), (F.col("_metadata.file_block_start") + F.monotonically_increasing_id() % (1 << 33)).alias("pos"))
+    rows = r.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"), (F.col("_metadata.file_block_start") + F.monotonically_increasing_id() % (1 << 33)).alias("pos"))
+    for part in without or []:
+        rows = rows.filter(~F.col("file").contains(part))
+    return rows
 
 
 def read_transcripts(spark: SparkSession, path: str, entrypoint: str = "cli", glob: str = "*.jsonl") -> DataFrame:
@@ -103,6 +108,43 @@ def _next_chunk(acc: Column, text: Column, size: int) -> Column:
     return F.struct((acc["at"] + used).cast("int").alias("at"), F.concat(acc["out"], F.array(F.substr(piece, F.lit(1), used.cast("int")))).alias("out"))
 
 
+def pull_sections(chunks: DataFrame, key: str, chunk: str, wanted: DataFrame, context: int = 0) -> DataFrame:
+    """Rows of ``chunks`` (key, chunk number, ...) within ``context`` of a wanted one (key, chunk), each once."""
+    near = wanted.select(key, F.explode(F.sequence(F.col(chunk) - context, F.col(chunk) + context)).alias(chunk)).distinct()
+    return chunks.join(near, [key, chunk], "left_semi")
+
+
+def document_rows(files: DataFrame, project: str | None = None) -> DataFrame:
+    """(source_id, kind, project, title, text, source_time) of read files (file, text): title and project from the
+    frontmatter, else the first heading or the file's name, and ``project`` or the directory's. Empty texts are left out."""
+    head = frontmatter(F.col("text"))
+    name = F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    first = F.regexp_extract(F.col("text"), r"(?m)^#{1,6} (.+)$", 1)
+    title = F.coalesce(head["title"], F.when(first != "", first), name)
+    where = F.coalesce(head["project"], F.lit(project), project_of(F.col("file")))
+    rows = files.filter(F.trim(F.coalesce("text", F.lit(""))) != "")
+    return rows.select(F.substring(F.sha2(F.col("file"), 256), 1, 32).alias("source_id"), F.lit("document").alias("kind"), where.alias("project"), title.alias("title"), body(F.col("text")).alias("text"), parse_time(head["date"]).alias("source_time"))
+
+
+def note_row(spark: SparkSession, text: str, project: str, title: str = "") -> DataFrame:
+    """One note in the form of ``document_rows``. A blank note is an error."""
+    if not text.strip():
+        raise ValueError("the note is empty")
+    rows = spark.createDataFrame([(text, project, title or text.strip().splitlines()[0][:80])], "text string, project string, title string")
+    return rows.select(F.substring(F.sha2(F.concat_ws("|", "project", "text"), 256), 1, 32).alias("source_id"), F.lit("note").alias("kind"), "project", "title", "text", F.lit(None).cast("timestamp").alias("source_time"))
+
+
+def hook_events(lines: DataFrame, line: str) -> DataFrame:
+    """(session_id, project, tool, input, input_hash, had_error, ts) of hook payloads, one JSON object a line; lines that are
+    no JSON or name no session are skipped, and inputs are kept to 400 characters beside their full hash."""
+    e = F.from_json(line, "session_id string, cwd string, tool_name string, tool_input string, tool_response string, timestamp string")
+    rows = lines.select(e.alias("e")).filter("e.session_id is not null")
+    return rows.select(
+        "e.session_id", F.regexp_extract("e.cwd", r"([^/]+)/?$", 1).alias("project"), F.col("e.tool_name").alias("tool"), F.substring("e.tool_input", 1, 400).alias("input"),
+        F.substring(F.sha1("e.tool_input"), 1, 16).alias("input_hash"), F.coalesce(has_error(F.col("e.tool_response")), F.lit(False)).alias("had_error"), parse_time(F.col("e.timestamp")).alias("ts"),
+    )
+
+
 def read_map_file(spark: SparkSession, path: str, value: str) -> DataFrame:
     """(key, value fields) of a JSON object of objects, kept in one file."""
     raw = spark.read.text(path, wholetext=True)
