@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tracewell.runtime import cut
 
 #: A round of stripping and compressing that leaves more than this share of the edges ends in the core solver.
-CORE_SHARE = 0.7
+CORE_SHARE = 0.5
 
 
 def _edges(df: DataFrame) -> DataFrame:
@@ -44,6 +44,17 @@ def _strip(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cut(edges.join(gone, ["a", "b"], "left_anti")), removed
 
 
+def _doubled(arcs: DataFrame) -> DataFrame:
+    """Every open pointer goes on to where the arc it points to points."""
+    ahead = arcs.select(F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("nx").alias("nx2"), F.col("ny").alias("ny2"), F.col("end").alias("end2"), F.col("least").alias("least2"))
+    return arcs.join(ahead, ["nx", "ny"], "left").select(
+        "x", "y", F.least("least", "least2").alias("least"),
+        F.when(F.col("end").isNull() & F.col("end2").isNull(), F.col("nx2")).alias("nx"),
+        F.when(F.col("end").isNull() & F.col("end2").isNull(), F.col("ny2")).alias("ny"),
+        F.coalesce("end", "end2").alias("end"),
+    )
+
+
 def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Replace every chain of degree-two vertices by one edge between its ends: (edges left, removed).
 
@@ -67,15 +78,7 @@ def _compress(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         if state["open"] == 0 or state == before:
             break
         before = state
-        ahead = arcs.select(F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("nx").alias("nx2"), F.col("ny").alias("ny2"), F.col("end").alias("end2"), F.col("least").alias("least2"))
-        arcs = cut(
-            arcs.join(ahead, ["nx", "ny"], "left").select(
-                "x", "y", F.least("least", "least2").alias("least"),
-                F.when(F.col("end").isNull() & F.col("end2").isNull(), F.col("nx2")).alias("nx"),
-                F.when(F.col("end").isNull() & F.col("end2").isNull(), F.col("ny2")).alias("ny"),
-                F.coalesce("end", "end2").alias("end"),
-            )
-        )
+        arcs = cut(_doubled(_doubled(arcs)))
     chains = cut(arcs.groupBy("x").agg(F.min("end").alias("e1"), F.max("end").alias("e2"), F.min("least").alias("least")))
     removed = cut(chains.select(F.col("x").alias("v"), F.coalesce("e1", "least").alias("parent")).filter("v != parent"))
     chain_v = chains.select(F.col("x").alias("v"))

@@ -20,7 +20,6 @@ Words are compared as 32-bit hashes, so two different words of one pair are take
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +37,8 @@ NODE = 6
 FREQUENT = 0.001
 #: Records of one block of a leading word.
 BLOCK_ROWS = 32768
-RUNS = re.compile("[0-9a-z]+")
+#: All bytes but those of [0-9a-z] become spaces; every byte of a letter outside ASCII is one of them.
+APART = bytes(c if chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz" else 32 for c in range(256))
 
 
 def word_sets(texts: DataFrame, id_col: str, text_col: str, least_runs: int) -> DataFrame:
@@ -51,22 +51,22 @@ def word_sets(texts: DataFrame, id_col: str, text_col: str, least_runs: int) ->
 
     src = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).filter("id is not null and t is not null")
 
+    class Hashes(dict):
+        def __missing__(self, word: bytes) -> int:
+            if len(self) > 1_000_000:
+                self.clear()
+            code = self[word] = xxhash.xxh32_intdigest(word)
+            return code
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known = RUNS.findall, {}
+        known = Hashes()
         for b in batches:
             keep, k1, k2, size, words = [], [], [], [], []
             for at, t in enumerate(b.column(1).to_pylist()):
-                runs = find(t.lower())
+                runs = t.lower().encode("utf-8", "replace").translate(APART).split()
                 if len(runs) < least_runs:
                     continue
-                if len(known) > 1_000_000:
-                    known.clear()
-                row = set()
-                for w in set(runs):
-                    h = known.get(w)
-                    if h is None:
-                        h = known[w] = xxhash.xxh32_intdigest(w)
-                    row.add(h)
+                row = {known[w] for w in set(runs)}
                 raw = np.sort(np.fromiter(row, np.uint32, len(row))).tobytes()
                 key = xxhash.xxh3_128_digest(raw)
                 keep.append(at)
