@@ -1,11 +1,18 @@
 """Incremental graph updates, communities, probes and merges."""
 
 import random
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from tracewell.operators import beliefs as B
+from tracewell.operators import evaluation as V
+from tracewell.operators import graph as G
+from tracewell.operators import models as M
+from tracewell.operators import rows as R
+from tracewell.operators import sessions as S
 from tracewell.operators import upkeep as U
+from tracewell.streaming import live
 
 D = datetime
 
@@ -90,3 +97,108 @@ def test_metrics_and_over_fetch(spark):
     rows = spark.createDataFrame([(i, float(10 - i), i % 4 == 0) for i in range(10)], "id int, s double, ok boolean")
     assert [r.id for r in U.over_fetch(rows, F.col("s"), F.col("ok"), 2, "id").collect()] == [0, 4]
     assert [r.id for r in U.over_fetch(rows, F.col("s"), F.col("id") > 7, 2, "id").collect()] == []
+
+
+def test_sessions_of_upkeep(spark):
+    rows = spark.createDataFrame([("a", D(2026, 1, 1, 0, 0, 5), 2, "x", " "), ("a", D(2026, 1, 1), 1, "y", None), ("a", D(2026, 1, 1, 0, 0, 9), 3, "y", "go"), ("b", D(2026, 1, 1), 1, None, None)], "k string, ts timestamp_ntz, n int, v string, said string")
+    got = {r.k: r for r in S.provenance(rows, ["k"], "ts", ["n"], ["v"], F.col("v") == "x", F.col("said")).collect()}
+    assert got["a"].v == ["y", "x"] and (got["a"].source_count, got["a"].duration_s, got["a"].had_errors, got["a"].retry_count, got["a"].trigger) == (3, 9.0, True, 1, "go")
+    assert got["b"].v == [] and not got["b"].had_errors and got["b"].trigger == ""
+    talk = spark.createDataFrame([("d", 1, "user", "so it is"), ("d", 2, "assistant", "why?"), ("d", 3, "user", "how come"), ("d", 4, "assistant", "x"), ("e", 1, "user", "why")], "k string, n int, role string, t string")
+    assert {tuple(r) for r in S.question_windows(talk, "k", "n", "role", "t", 2).collect()} == {("d", 1), ("d", 2)}
+    sizes = spark.createDataFrame([(2, None, None), (1, True, None), (1, None, True), (1, False, None), (0, True, True)], "n int, e boolean, a boolean")
+    assert [r[0] for r in sizes.select(S.significant(F.col("n"), F.col("e"), F.col("a"))).collect()] == [True, True, True, False, False]
+    done = spark.createDataFrame([("a", 1)], "k string, x int").select("k")
+    at = lambda t: spark.createDataFrame([(t,)], "cursor timestamp_ntz")
+    assert {r.n for r in S.fresh_or_missed(rows, at(D(2026, 1, 1, 0, 0, 5)), "ts", done, "k").collect()} == {3}
+    assert {r.k for r in S.fresh_or_missed(rows, at(D(2027, 1, 1)), "ts", done, "k").collect()} == {"b"}
+    assert S.fresh_or_missed(rows, at(None), "ts", done, "k").count() == 4
+
+
+def test_cluster_rules(spark):
+    """Intent is compared with the turn before alone, and the overlap is a share of the turn's own things."""
+    step = lambda intents, gap=1, things=None: [c for c in S._cluster([{"ts": D(2026, 1, 1) + timedelta(seconds=gap * i), "intent": t, "things": (things or [[]] * len(intents))[i]} for i, t in enumerate(intents)])]
+    assert step(["a", "", "b"]) == [0, 0, 0]  # a turn without intent hides the change
+    assert step(["a", "b"], 1, [["x"], ["y"]]) == [0, 1] and step(["x" * 60 + "1", "x" * 60 + "2"]) == [0, 0]
+    many = [[f"f{k}" for k in range(9)], ["f0"]]
+    assert step(["", ""], 1801, many) == [0, 0] and step(["", ""], 1801, [["f0"], ["f0", "g1", "g2", "g3"]]) == [0, 1]
+    assert step(["", ""], 1800, [["a"], ["b"]]) == [0, 0] and step(["", ""], 7201, [["a"], ["a"]]) == [0, 1]
+    assert step([""] * 9) == [0] * 8 + [1]
+
+
+def test_token_chunks(spark):
+    rows = spark.createDataFrame([("a", i, t) for i, t in enumerate([200, 150, 60, 50, 500, 10, 10])] + [("b", 0, None)], "k string, s int, t int")
+    got = {(r.k, r.chunk_no): (r.seqs, r.tokens) for r in S.token_chunks(rows, "k", "s", "t", 400, 80).collect()}
+    assert got == {("a", 0): ([0, 1], 350), ("a", 1): ([2, 3], 110), ("a", 2): ([4], 500), ("a", 3): ([5, 6], 20), ("b", 0): ([0], 0)}
+    assert S.token_chunks(rows.limit(0), "k", "s", "t").count() == 0
+
+
+def test_beliefs_of_upkeep(spark):
+    forms = spark.createDataFrame(
+        [("1", "claim", "all know", "global", None, 0.9, D(2026, 1, 1), "s", "p"), ("2", "rule", "here only", "project", "x", 0.8, D(2026, 1, 2), "s", "p"), ("3", "claim", "doubted", "global", None, 0.1, D(2026, 1, 3), "s", "p")],
+        "id string, form_type string, content string, scope_type string, scope_id string, confidence double, extracted_at timestamp_ntz, subject string, predicate string",
+    )
+    status = spark.createDataFrame([("1", "stable", "current"), ("2", "active", "current"), ("3", "active", "contested")], "form_id string, status string, world_id string")
+    assert B.belief_block(forms, status, slug="x").first().block == "### Known Beliefs (global stable)\n- [claim] all know [STABLE]\n\n### Project Beliefs (this slug)\n- [rule] here only\n\n### Caution (contested/rejected)\n- [!] doubted (status: active)"
+    assert B.belief_block(forms, status, "know").first().block.count("- ") == 1 and B.belief_block(forms, status, "nothing").first().block == ""
+    assert B.belief_block(forms, status, slug="x", chars=40).first().block.endswith("... (truncated)")
+    derived = spark.createDataFrame([("lesson", ["2", None], None), ("task", ["3"], None)], "type string, source_form_ids array<string>, invalidated_at timestamp")
+    assert {(r.id, r.scope_type, r.scope_id) for r in B.promote_sources(forms, derived, "x").collect()} == {("1", "global", None), ("2", "global", None), ("3", "global", None)}
+    assert B.promote_sources(forms, derived, "y").filter("id = '2'").first().scope_id == "x"
+    reviews = spark.createDataFrame([("n", "o", 0.7, None), ("n", "o", 0.7, None), ("m", "o", 0.6, "kept"), (None, "o", 0.9, None)], "new_id string, old_id string, score double, decided string")
+    assert [(r.type, len(r.source_form_ids), r.confidence) for r in B.pending_contradictions(reviews).collect()] == [("contradiction", 2, 0.7)]
+    log = spark.createDataFrame([("conflict", "derive", "1", "2")], "rule string, kind string, form_id string, other_id string")
+    named = derived.select(F.lit("d").alias("derived_id"), "type", "source_form_ids")
+    assert {r.part for r in B.explain("2", forms, status, named, log).collect()} == {"form", "status", "derived", "log"}
+    found = spark.createDataFrame([("a", "b"), ("a", "c")], "form_a string, form_b string")
+    assert [tuple(r) for r in B.new_pairs(found, spark.createDataFrame([("c", "a")], "form_a string, form_b string")).collect()] == [("a", "b")]
+    B.register_module("mine", B.RULES[:1])
+    assert [r.name for r in B.module_rules("mine")] == ["conflict"]
+    for wrong in (lambda: B.register_module("mine", []), lambda: B.module_rules("none")):
+        try:
+            wrong()
+            raise AssertionError("no error")
+        except ValueError:
+            pass
+    del B.MODULES["mine"]
+
+
+def test_models_of_upkeep(spark):
+    assert M.json_array("see: [1, 2] and") == "[1, 2]" and M.json_array("[x] then ```[\"a]\"]```") == '["a]"]' and M.json_array(None) is None and M.json_array("[") is None
+    rows = spark.createDataFrame([("a", "short"), ("b", "l" * 50), ("c", None)], "id string, t string")
+    out = {r.id: r.t for r in M.synthesize_if_long(rows, "t", "Say less", 20, lambda texts: [f"{len(t)} chars" for t in texts]).collect()}
+    assert out == {"a": "short", "b": f"{len('Say less') + 2 + 4 + 50 + 4} chars", "c": None}
+    assert M.synthesize_if_long(rows, "t", "", 0, None) is rows
+    forms = spark.createDataFrame([("1", "claim", "", "redis", "cache"), ("2", "rule", "always backup volumes nightly carefully", None, None), ("3", "claim", "x", None, None)], "id string, form_type string, content string, subject string, object string")
+    got = {(r.form_id, r.pattern, r.denies) for r in M.build_probes(forms).collect()}
+    assert {("1", "redis", False), ("1", "cache", False), ("1", "replaced redis", True), ("2", "backup", False), ("2", "volumes", False)} <= got and not any(f == "3" for f, *_ in got) and ("2", "nightly", False) not in got
+    files = spark.createDataFrame([("f", "we REPLACED Redis"), ("g", "the cache")], "file string, text string")
+    assert {(r.form_id, r.outcome) for r in M.probe_texts(files, M.build_probes(forms)).collect()} == {("1", "confirmed"), ("2", "inconclusive")}
+    a, b = spark.range(1).select(*M.prior_of(F.lit(0.75))).first()
+    assert (a, b) == (6.0, 2.0)
+    figures = spark.createDataFrame([(2, 0.5), (1, 0.5), (3, 0.1)], "p int, f1 double")
+    assert V.best_point(figures, ["p"]).first().p == 1
+
+
+def test_batches_over_a_whole_order(spark):
+    rows = spark.range(1000).withColumn("x", F.xxhash64("id"))
+    got = {r.id: r.batch_no for r in G.batched(rows, ["x", "id"], 30).collect()}
+    order = [r.id for r in rows.orderBy("x", "id").collect()]
+    assert all(got[i] == k // 30 for k, i in enumerate(order))
+
+
+def test_decay_by_batch_and_chain(spark, tmp_path):
+    held = [spark.createDataFrame([("e", "a", "b", 1.0), ("f", "c", "d", 1.0)], "id string, src string, dst string, weight double")]
+    src = str(tmp_path / "in")
+    for k, who in enumerate(["a", "c"]):
+        spark.createDataFrame([(who,)], "entity_id string").coalesce(1).write.mode("append").parquet(src)
+        live.decay_per_batch(spark.readStream.schema("entity_id string").parquet(src), str(tmp_path / "c"), lambda: held[-1], lambda df: held.append(df.checkpoint()), "weight > 0").awaitTermination(120)
+    assert {(r.id, round(r.weight, 6)) for r in held[-1].collect()} == {("e", 0.97), ("f", 0.97)} and len(held) == 3
+    seen = []
+    assert live.run_chain([("one", lambda: seen.append(1)), ("two", lambda: 1 / 0), ("three", lambda: seen.append(3))]) == [("one", "ok"), ("two", "failed: division by zero"), ("three", "not run")] and seen == [1]
+
+
+def test_expire(spark):
+    rows = spark.createDataFrame([("1", "a", None), ("2", "a", D(2026, 1, 1)), ("3", "b", None)], "id string, k string, until timestamp_ntz")
+    ends = spark.createDataFrame([("a", D(2026, 3, 1)), ("a", D(2026, 2, 1))], "k string, at timestamp_ntz")
+    assert {(r.id, r.until) for r in R.expire(rows, ends, ["k"], "until").collect()} == {("1", D(2026, 2, 1)), ("2", D(2026, 1, 1)), ("3", None)}

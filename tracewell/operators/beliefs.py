@@ -277,3 +277,91 @@ def derive_forms(facts: DataFrame) -> DataFrame:
         stable_id(F.lit("form"), F.col("id")).alias("form_id"), kind.alias("form_type"), "content", F.coalesce(F.try_element_at("entities", F.lit(1)), F.col("topic")).alias("subject"),
         "confidence", F.when(gone, "past").otherwise("current").alias("world_id"), F.when(gone, "superseded").otherwise("active").alias("status"),
     )
+
+
+def new_pairs(found: DataFrame, known: DataFrame, a: str = "form_a", b: str = "form_b") -> DataFrame:
+    """``found`` without the pairs that ``known`` holds in either direction."""
+    seen = known.select(F.least(a, b).alias(a), F.greatest(a, b).alias(b)).distinct()
+    return found.join(seen, [a, b], "left_anti")
+
+
+def belief_block(forms: DataFrame, statuses: DataFrame, topic: str | None = None, slug: str | None = None, most: tuple[int, int, int] = (8, 5, 3), chars: int = 2000) -> DataFrame:
+    """One row (block): bullets of what holds everywhere and now, of what holds for a project, and of what is contested or
+    rejected, ``most`` of each, cut to ``chars`` characters. statuses: (form_id, status, world_id), those that have not ended.
+
+    A topic is a substring of content, subject or predicate. A stage without rows is left out; without any the block is empty.
+    """
+    rows = forms.join(statuses, forms["id"] == F.col("form_id"))
+    if topic:
+        rows = rows.filter(F.lower(F.concat_ws("\n", "content", "subject", "predicate")).contains(topic.lower()))
+    live = F.col("status").isin("active", "stable")
+    kind = F.concat(F.lit("- ["), "form_type", F.lit("] "), F.substring("content", 1, 120))
+    stages = [
+        ("### Known Beliefs (global stable)", (F.col("scope_type") == "global") & (F.col("world_id") == "current") & live, [F.desc("confidence"), F.desc("extracted_at"), F.col("id")], F.concat(kind, F.when(F.col("status") == "stable", " [STABLE]").otherwise(""))),
+        ("\n### Project Beliefs (this slug)", (F.col("scope_type") == "project") & (F.col("scope_id") == F.lit(slug)) & F.col("world_id").isin("current", "planned") & live, [F.desc("confidence"), F.col("id")], kind),
+        ("\n### Caution (contested/rejected)", F.col("world_id").isin("contested", "rejected"), [F.desc("extracted_at"), F.col("id"), F.col("world_id")], F.concat(F.lit("- [!] "), F.substring("content", 1, 100), F.lit(" (status: "), F.coalesce("status", F.lit("?")), F.lit(")"))),
+    ]
+    lines = None
+    for k, ((title, which, order, line), n) in enumerate(zip(stages, most, strict=True)):
+        top = rows.filter(which).orderBy(*order).limit(n).select(*forms.columns, "status", "world_id")
+        part = top.select(F.lit(k).alias("stage"), F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)).alias("r"), line.alias("l"))  # n rows
+        part = part.unionByName(part.limit(1).select("stage", F.lit(0).alias("r"), F.lit(title).alias("l")))
+        lines = part if lines is None else lines.unionByName(part)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("stage", "r", "l"))), lambda s: s["l"]), "\n")
+    return lines.agg(text.alias("t")).select(F.when(F.length("t") > chars, F.concat(F.substring("t", 1, chars - 20), F.lit("\n... (truncated)"))).otherwise(F.col("t")).alias("block"))
+
+
+# Derived objects whose sources are promoted.
+DURABLE = ["lesson", "design_rule", "anti_pattern", "heuristic", "stable_belief"]
+
+
+def promote_sources(forms: DataFrame, derived: DataFrame, slug: str | None = None) -> DataFrame:
+    """``forms`` in which the sources of durable derived objects (type, source_form_ids, invalidated_at) that are of a project, of
+    ``slug`` if given, hold everywhere; what was invalidated promotes nothing."""
+    live = derived.filter(F.col("type").isin(DURABLE) & F.col("invalidated_at").isNull())
+    source = live.select(F.explode("source_form_ids").alias("id")).filter("id is not null").distinct().withColumn("__s", F.lit(True))
+    mine = (F.col("scope_type") == "project") & ((F.col("scope_id") == slug) if slug else F.lit(True))
+    up = F.coalesce(F.col("__s"), F.lit(False)) & F.coalesce(mine, F.lit(False))
+    rows = forms.join(source, "id", "left").withColumn("__up", up)
+    return rows.withColumn("scope_type", F.when(F.col("__up"), "global").otherwise(F.col("scope_type"))).withColumn("scope_id", F.when(~F.col("__up"), F.col("scope_id"))).select(*forms.columns)
+
+
+def pending_contradictions(reviews: DataFrame) -> DataFrame:
+    """(derived_id, type, source_form_ids, confidence): a derived object for each review (new_id, old_id, score, decided) that is
+    not decided yet; both facts are its sources, by the ids their forms got."""
+    form = lambda c: stable_id(F.lit("form"), F.col(c))
+    rows = reviews.filter("decided is null and new_id is not null and old_id is not null")
+    return rows.select(stable_id(F.lit("contradiction"), F.col("new_id"), F.col("old_id")).alias("derived_id"), F.lit("contradiction").alias("type"), F.array(form("new_id"), form("old_id")).alias("source_form_ids"), F.col("score").alias("confidence")).dropDuplicates(["derived_id"])
+
+
+def explain(form_id: str, forms: DataFrame, statuses: DataFrame, derived: DataFrame, log: DataFrame) -> DataFrame:
+    """(part, detail) on one form: itself, its statuses, what was derived from it and what rules did with it. derived:
+    (derived_id, type, source_form_ids); log: (rule, kind, form_id, other_id)."""
+    me = F.lit(form_id)
+    parts = [
+        forms.filter(F.col("id") == me).select(F.lit("form").alias("part"), F.concat_ws(" ", "form_type", "content").alias("detail")),
+        statuses.filter(F.col("form_id") == me).select(F.lit("status").alias("part"), F.concat_ws(" ", "world_id", "status").alias("detail")),
+        derived.filter(F.array_contains("source_form_ids", me)).select(F.lit("derived").alias("part"), F.concat_ws(" ", "type", "derived_id").alias("detail")),
+        log.filter((F.col("form_id") == me) | (F.col("other_id") == me)).select(F.lit("log").alias("part"), F.concat_ws(" ", "rule", "kind").alias("detail")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+#: Rules by the name of their module; ``personal`` is what comes with the engine.
+MODULES: dict[str, list[Rule]] = {"personal": RULES}
+
+
+def register_module(name: str, rules: list[Rule]) -> None:
+    """Add a module of rules; a name is given once."""
+    if name in MODULES:
+        raise ValueError(f"there is a module {name} already")
+    MODULES[name] = rules
+
+
+def module_rules(name: str) -> list[Rule]:
+    if name not in MODULES:
+        raise ValueError(f"there is no module {name}; known are {', '.join(sorted(MODULES))}")
+    return MODULES[name]

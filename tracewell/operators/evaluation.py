@@ -60,3 +60,8 @@ def candidate_score(rank: Column, size: Column, sessions: Column, weeks: Column,
 def gate(score: Column, sessions: Column, weeks: Column) -> Column:
     """Whether a candidate is promoted without review; all limits are inclusive."""
     return (score >= GATE_SCORE) & (sessions >= GATE_SESSIONS) & (weeks >= GATE_WEEKS)
+
+
+def best_point(figures: DataFrame, grid: list[str], by: str = "f1") -> DataFrame:
+    """The point of a sweep with the highest figure; of equal ones the first in the order of the grid."""
+    return figures.orderBy(F.desc(by), *grid).limit(1)

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions.text import probe_keywords
 from tracewell.runtime import cut
 
 #: Scores from which a contradicted fact is invalidated, or sent to review.
@@ -121,3 +122,56 @@ def probe_texts(files: DataFrame, probes: DataFrame, most: int = 50) -> DataFram
     rows = probes.join(hits, ["form_id", "probe_id"], "left").groupBy("form_id").agg(F.count_if((F.col("n") > 0) & ~F.col("denies")).alias("confirms"), F.count_if((F.col("n") > 0) & F.col("denies")).alias("denies"))
     outcome = F.when(F.col("confirms") > F.col("denies"), "confirmed").when(F.col("denies") > F.col("confirms"), "disconfirmed").otherwise("inconclusive")
     return rows.select("form_id", outcome.alias("outcome"), "confirms", "denies")
+
+
+def json_array(text: str | None) -> str | None:
+    """The first JSON list in a text, fences and talk around it ignored; null without one."""
+    decoder, start = json.JSONDecoder(), (text or "").find("[")
+    while start >= 0:
+        try:
+            return json.dumps(decoder.raw_decode(text, start)[0])
+        except ValueError:
+            start = text.find("[", start + 1)
+    return None
+
+
+def list_prompts(rows: DataFrame, group: str, order: str, line: Column, title: str) -> DataFrame:
+    """(group, prompt): a prompt per group that lists its rows in order below a title; callers keep the rows of a group few."""
+    lines = rows.groupBy(group).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("l")))), lambda s: s["l"]), "\n").alias("ls"))
+    return lines.select(group, F.concat(F.lit(title), group, F.lit("\n"), "ls").alias("prompt"))
+
+
+def synthesize_if_long(rows: DataFrame, text: str, instruction: str, threshold: int, call: Callable[[list[str]], list[str]] | None) -> DataFrame:
+    """``rows`` with ``text`` replaced by a model's answer where it is longer than ``threshold``; without a call nothing is."""
+    if call is None:
+        return rows
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            long = pdf[text].fillna("").str.len() > threshold
+            if long.any():
+                pdf = pdf.copy()
+                pdf.loc[long, text] = call([f"{instruction}\n\n---\n{t}\n---" for t in pdf.loc[long, text]])
+            yield pdf
+
+    return rows.mapInPandas(run, rows.schema)
+
+
+def build_probes(forms: DataFrame) -> DataFrame:
+    """(form_id, probe_id, pattern, denies): what is looked for to test a form. A claim by its subject and object, and denied by
+    words for replacing or removing its subject; a decision by three keywords, rules and plans by two, others by three."""
+    kw = probe_keywords(F.col("content"))
+    many = F.when(F.col("form_type").isin("rule", "plan"), 2).otherwise(3)
+    words = F.transform(F.slice(kw, 1, 3), lambda w, k: F.struct(F.concat(F.lit("word"), k.cast("string")).alias("probe_id"), w.alias("pattern"), F.lit(False).alias("denies")))
+    subject, obj = F.coalesce("subject", F.lit("")), F.coalesce("object", F.lit(""))
+    one = lambda name, p, no: F.struct(F.lit(name).alias("probe_id"), p.alias("pattern"), F.lit(no).alias("denies"))
+    gone = [one(f"gone{k}", F.concat(F.lit(v + " "), subject), True) for k, v in enumerate(("replaced", "replace", "removed", "remove", "dropped", "drop", "migrated", "migrate", "switched", "switch"))]
+    claim = F.filter(F.array(one("subject", subject, False), one("object", F.when(obj != subject, obj).otherwise(""), False), *[F.when(subject != "", g) for g in gone]), lambda p: p["pattern"] != "")
+    probes = F.when(F.col("form_type") == "claim", claim).otherwise(F.slice(words, 1, many))
+    return forms.select(F.col("id").alias("form_id"), F.explode(probes).alias("p")).select("form_id", "p.*")
+
+
+def prior_of(confidence: Column) -> tuple[Column, Column]:
+    """Alpha and beta that stand for a confidence held before: eight tests' worth."""
+    c = F.least(F.lit(1.0), F.greatest(F.lit(0.0), confidence))
+    return 8 * c, 8 * (1 - c)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions.text import asks
 from tracewell.functions.times import seconds_between
 
 # Kinds of tools, and gaps in seconds after which a cluster of turns ends for sure or perhaps.
@@ -243,3 +244,49 @@ def token_chunks(rows: DataFrame, key: str, seq: str, tokens: str, target: int =
 
     walked = items.repartition("k").sortWithinPartitions("k", "s", "t").mapInPandas(run, f"k {kind}, chunk_no int, seqs array<long>, tokens long")
     return walked.withColumnRenamed("k", key)
+
+
+def sequence_numbers(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """``rows`` with ``seq``, from 1 per key; the last of a key is also its number of rows. ``order`` should end in a unique column."""
+    return rows.withColumn("seq", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+def significant(size: Column, error: Column, acted: Column) -> Column:
+    """Whether a cluster is worth keeping: two turns or more, or one that failed or acted; nulls count as false."""
+    return (size >= 2) | ((size == 1) & (F.coalesce(error, F.lit(False)) | F.coalesce(acted, F.lit(False))))
+
+
+def provenance(rows: DataFrame, key: list[str], ts: str, order: list[str], lists: list[str], error: Column, trigger: Column) -> DataFrame:
+    """Per key: ``source_count``, ``time_first``, ``time_last``, ``duration_s`` (1 digit), for each column of ``lists`` its distinct
+    values in the order they first occur, ``had_errors``, ``retry_count`` and ``trigger``, the first text that is not blank (200
+    characters). Null values are in no list. A list is taken from the first place of each value, not from all rows."""
+    first = F.struct(F.col(ts), *order)
+    said = F.trim(trigger)
+    one = rows.groupBy(*key).agg(
+        F.count("*").alias("source_count"), F.min(ts).alias("time_first"), F.max(ts).alias("time_last"), F.coalesce(F.bool_or(error), F.lit(False)).alias("had_errors"), F.count_if(error).alias("retry_count"),
+        F.coalesce(F.min_by(F.substring(said, 1, 200), F.when(said != "", first)), F.lit("")).alias("trigger"),
+    )
+    one = one.withColumn("duration_s", F.round(seconds_between(F.col("time_first"), F.col("time_last")), 1))
+    for c in lists:
+        seen = rows.filter(F.col(c).isNotNull()).groupBy(*key, c).agg(F.min(first).alias("f")).groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("f", F.col(c).alias("v")))), lambda s: s["v"]).alias(c))
+        one = one.join(seen, key, "left").withColumn(c, F.coalesce(c, F.array()))
+    return one
+
+
+def question_windows(rows: DataFrame, key: str, seq: str, role: str, text: str, n: int) -> DataFrame:
+    """(key, window_no) of the runs of n rows of a key (window_no from 0) in which a user's row asks something."""
+    w = Window.partitionBy(key).orderBy(seq)
+    asked = F.bool_or((F.col(role) == "user") & asks(F.col(text))).over(w.rowsBetween(0, n - 1))
+    full = F.count("*").over(w.rowsBetween(0, n - 1)) == n
+    out = rows.select(key, (F.row_number().over(w) - 1).alias("window_no"), asked.alias("__a"), full.alias("__f"))
+    return out.filter("__a and __f").select(key, "window_no")
+
+
+def fresh_or_missed(rows: DataFrame, cursor: DataFrame, ts: str, done: DataFrame, key: str) -> DataFrame:
+    """Rows later than the cursor (one row, ``cursor``), or, if there are none, those no row of ``done`` (key) refers to, which the
+    cursor has missed."""
+    at = rows.join(F.broadcast(cursor.select("cursor"))).withColumn("__new", F.coalesce(F.col(ts) > F.col("cursor"), F.col("cursor").isNull()))
+    some = at.agg(F.coalesce(F.bool_or("__new"), F.lit(False)).alias("__some"))
+    hit = done.select(key).distinct().withColumn("__done", F.lit(True))
+    out = at.join(F.broadcast(some)).join(hit, key, "left")
+    return out.filter(F.when(F.col("__some"), F.col("__new")).otherwise(F.col("__done").isNull())).select(*rows.columns)

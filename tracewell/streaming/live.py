@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracewell.operators.graph import decay
 from tracewell.operators.orphans import OrphanLedger
 from tracewell.operators.sessions import cluster_step
 
@@ -111,3 +112,29 @@ def track_orphans(stream: DataFrame, checkpoint: str, ledger: OrphanLedger) -> S
         ledger.apply(refs, parents, df.filter("what = 'delete'").select("scope", "key"))
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def decay_per_batch(stream: DataFrame, checkpoint: str, edges: Callable[[], DataFrame], keep: Callable[[DataFrame], None], eligible: str) -> StreamingQuery:
+    """One step of decay for every micro-batch of fired entities (entity_id), whatever time has passed: ``edges`` gives the edges
+    (id, src, dst, weight, ...) as they are, ``keep`` stores those after the step."""
+
+    def step(df: DataFrame, _: int) -> None:
+        keep(decay(edges(), df.select("entity_id"), "src", "dst", eligible))
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_chain(steps: list[tuple[str, Callable[[], object]]]) -> list[tuple[str, str]]:
+    """Run named steps one after the other and stop at the first that fails: (name, ``ok``, ``failed: why`` or ``not run``)."""
+    done, broken = [], False
+    for name, step in steps:
+        if broken:
+            done.append((name, "not run"))
+            continue
+        try:
+            step()
+            done.append((name, "ok"))
+        except Exception as e:  # noqa: BLE001
+            broken = True
+            done.append((name, f"failed: {e}"))
+    return done
