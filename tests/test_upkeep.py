@@ -202,3 +202,17 @@ def test_expire(spark):
     rows = spark.createDataFrame([("1", "a", None), ("2", "a", D(2026, 1, 1)), ("3", "b", None)], "id string, k string, until timestamp_ntz")
     ends = spark.createDataFrame([("a", D(2026, 3, 1)), ("a", D(2026, 2, 1))], "k string, at timestamp_ntz")
     assert {(r.id, r.until) for r in R.expire(rows, ends, ["k"], "until").collect()} == {("1", D(2026, 2, 1)), ("2", D(2026, 1, 1)), ("3", None)}
+
+
+def test_trace_hops(spark):
+    ents = spark.createDataFrame([(0, ["t1"]), (0, ["t2", "lost"]), (1, ["t3"]), (2, None), (None, ["t1"])], "community int, text_unit_ids array<string>")
+    units = spark.createDataFrame([("t1", ["d1"], None), ("t2", None, "d2"), ("t3", [], "chunk-c3")], "id string, document_ids array<string>, document_id string")
+    docs = spark.createDataFrame([("d1", "chunk-c1.txt"), ("d2", "chunk-c2.txt"), ("chunk-c3", "other")], "id string, title string")
+    meta = spark.createDataFrame([("c1", ["sA"], D(2026, 3, 1)), ("c2", ["sB", "sA"], D(2026, 3, 22)), ("c3", ["sC"], D(2026, 3, 2))], "chunk_id string, session_ids array<string>, first_timestamp timestamp_ntz")
+    got = {r.community: (r.chunks, r.sessions, r.week_span) for r in U.trace_hops(ents, units, docs, meta).collect()}
+    assert got == {0: (2, 2, 4), 1: (1, 1, 1), 2: (0, 0, 0)}
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 1.0]), ("z", [0.0, 0.0])], "id string, vec array<double>")
+    to = spark.createDataFrame([("q", [2.0, 0.1]), ("p", [2.0, 0.1]), ("r", [0.0, 1.0])], "target string, vec array<double>")
+    assert {(r.id, r.target) for r in U.nearest_above(v, to, 0.9).collect()} == {("a", "p")}
+    talk = spark.createDataFrame([("s", 1, "user", "ask", False), ("s", 2, "assistant", "a1", False), ("s", 3, "user", "result of a tool", True), ("s", 4, "assistant", "a2", None)], "k string, n int, role string, t string, skip boolean")
+    assert [(r.user_text, r.response, r.blocks) for r in S.assemble_turns(talk, "k", "n", "role", "t", F.col("skip")).collect()] == [("ask", "a1\na2", 2)]

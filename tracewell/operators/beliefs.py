@@ -15,6 +15,11 @@ from tracewell.runtime import cut
 
 #: Signs of failure in a warning.
 FAILURE = ["fail"]
+# The worlds a form may hold in, with their labels.
+WORLDS = {
+    "current": "Current", "past": "Past", "planned": "Planned", "possible": "Possible", "contested": "Contested", "rejected": "Rejected",
+    "user_belief": "User Belief", "system_belief": "System Belief",
+}
 #: Atoms that are compared under one word by one task, about, and counters it holds at once.
 MEETING_ROWS, CELLS = 16384, 4_000_000
 #: A firing: what a rule wants done; kind is derive, supersede or promote.
@@ -365,3 +370,9 @@ def module_rules(name: str) -> list[Rule]:
     if name not in MODULES:
         raise ValueError(f"there is no module {name}; known are {', '.join(sorted(MODULES))}")
     return MODULES[name]
+
+
+def world_counts(statuses: DataFrame) -> DataFrame:
+    """(world_id, label, status, n) of statuses by world, with the world's label; worlds that are not known have none."""
+    worlds = statuses.sparkSession.createDataFrame(list(WORLDS.items()), "world_id string, label string")
+    return statuses.groupBy("world_id", "status").agg(F.count("*").alias("n")).join(F.broadcast(worlds), "world_id", "left").select("world_id", "label", "status", "n")

@@ -98,10 +98,13 @@ def noise_filter(turns: DataFrame, key: str, ts: str, order: list[str], error: s
     return rows.withColumn("__ahead", ahead).withColumn("__keep", keep).filter("__keep").drop("__live", "__ahead", "__keep")
 
 
-def assemble_turns(messages: DataFrame, key: str, seq: str, role: str, text: str) -> DataFrame:
+def assemble_turns(messages: DataFrame, key: str, seq: str, role: str, text: str, skip: Column | None = None) -> DataFrame:
     """(key, turn_n, user_text, response, blocks): a user text opens a turn, assistant rows fold into it; rows before
-    the first user text and rows of other roles are left out."""
+    the first user text and rows of other roles are left out, as are those for which ``skip`` holds (results of tools that
+    come under the user's role, meta rows)."""
     w = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    if skip is not None:
+        messages = messages.filter(~F.coalesce(skip, F.lit(False)))
     rows = messages.filter(F.col(role).isin("user", "assistant")).withColumn("turn_n", F.sum((F.col(role) == "user").cast("int")).over(w)).filter("turn_n > 0")
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(role) == "assistant", F.struct(F.col(seq), F.col(text))))), lambda s: s[text]), "\n")
     return rows.groupBy(key, "turn_n").agg(F.max(F.when(F.col(role) == "user", F.col(text))).alias("user_text"), said.alias("response"), F.count_if(F.col(role) == "assistant").alias("blocks"))

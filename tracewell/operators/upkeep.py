@@ -8,11 +8,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import name_form
+from tracewell.functions.times import week_span
+from tracewell.functions.vectors import cosine
 from tracewell.operators.graph import name_index, pair_rows, stale_communities
 from tracewell.runtime import cut
 
 #: New records after which communities are built anew.
 REBUILD_AFTER = 30
+#: Targets that are sent to all tasks at once.
+TARGET_ROWS = 4096
 _NONE = "cast(array() as array<string>)"
 
 
@@ -192,3 +196,42 @@ def over_fetch(rows: DataFrame, score: Column, keep: Column, k: int, tie: str) -
     fewer than k may come out though more would qualify."""
     best = rows.withColumn("score", score).orderBy(F.desc("score"), tie).limit(3 * k)
     return best.filter(keep).orderBy(F.desc("score"), tie).limit(k)
+
+
+def trace_hops(entities: DataFrame, text_units: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(community, chunks, sessions, first, last, week_span): from communities over their entities, text units and documents to
+    chunks and the sessions those were cut from.
+
+    entities: (community, text_unit_ids); text_units: (id, document_ids or document_id); documents: (id, title), the chunk id being
+    what follows ``chunk-`` in the title, else in the id; chunks: (chunk_id, session_ids, first_timestamp). Every hop drops
+    what leads nowhere; a community of which nothing is left has zeros and no times; entities without a community do not count.
+    """
+    known = entities.filter("community is not null")
+    unit = known.select("community", F.explode("text_unit_ids").alias("unit")).distinct()
+    many = F.coalesce("document_ids", F.array().cast("array<string>")) if "document_ids" in text_units.columns else F.array().cast("array<string>")
+    one = F.array("document_id") if "document_id" in text_units.columns else F.array().cast("array<string>")
+    docs = text_units.select(F.col("id").alias("unit"), F.explode(F.concat(many, one)).alias("doc")).filter("doc is not null")
+    pattern = "chunk-([a-f0-9]+)"
+    named, other = F.regexp_extract("title", pattern, 1), F.regexp_extract("id", pattern, 1)
+    chunk = documents.select(F.col("id").alias("doc"), F.when(named != "", named).otherwise(other).alias("chunk_id")).filter("chunk_id != ''")
+    reached = cut(unit.join(docs, "unit").join(chunk, "doc").select("community", "chunk_id").distinct().join(chunks.select("chunk_id", "session_ids", "first_timestamp"), "chunk_id"))
+    times = reached.groupBy("community").agg(F.count("*").alias("chunks"), F.min("first_timestamp").alias("first"), F.max("first_timestamp").alias("last"))
+    said = reached.select("community", F.explode("session_ids").alias("s")).groupBy("community").agg(F.countDistinct("s").alias("sessions"))
+    out = known.select("community").distinct().join(times, "community", "left").join(said, "community", "left").na.fill(0, ["chunks", "sessions"])
+    return out.select("community", "chunks", "sessions", "first", "last", week_span(F.col("first"), F.col("last")).alias("week_span"))
+
+
+def nearest_above(vectors: DataFrame, targets: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(id, target, score): the most similar target of each vector if its cosine reaches the threshold; ties to the smaller target.
+
+    vectors: (id, vec); targets: (target, vec), known to be few, such as the centres of areas, and broadcast in parts of
+    ``TARGET_ROWS``, so that what is sent at once is bounded whatever their number. Zero vectors are near nothing.
+    """
+    parts = max(1, -(-targets.count() // TARGET_ROWS))
+    best = None
+    for k in range(parts):
+        some = targets.filter(F.pmod(F.xxhash64("target"), F.lit(parts)) == k).select("target", F.col("vec").alias("to"))
+        near = vectors.join(F.broadcast(some)).select("id", "target", cosine(F.col("vec"), F.col("to")).alias("score")).filter(F.col("score") >= threshold)
+        best = near if best is None else best.unionByName(near)
+    top = best.groupBy("id").agg(F.max("score").alias("score"))
+    return best.join(top, ["id", "score"]).groupBy("id").agg(F.min("target").alias("target"), F.first("score").alias("score"))

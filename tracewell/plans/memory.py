@@ -234,11 +234,6 @@ def keyword_score(spark: SparkSession, d: str) -> DataFrame:
     return B.keyword_scores(cur(spark, d, "logical_forms"), cur(spark, d, "atoms")).withColumn("score", F.round("score", 6))
 
 
-@query()
-def passive_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return B.passive_outcomes(cur(spark, d, "logical_forms"), cur(spark, d, "atoms"))
-
-
 _BP = f"""(SELECT id, {_K.format('form_id')} AS form_id, outcome, 1.0 + sum((outcome = 'confirmed')::INT) OVER w AS alpha, 1.0 + sum((outcome = 'disconfirmed')::INT) OVER w AS beta FROM {BT} WINDOW w AS (PARTITION BY {_K.format('form_id')} ORDER BY tested_at, id ROWS UNBOUNDED PRECEDING))"""
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.functions.text import CONDITION_STOPWORDS, disconfirmation_conditions, keywords, ref_key, stable_id
+from tracewell.functions.text import CONDITION_STOPWORDS, CONFIRM_STOPWORDS, EPISODIC, disconfirmation_conditions, keywords, ref_key, stable_id
 from tracewell.operators import beliefs as B
 from tracewell.operators import models as M
 from tracewell.operators.rows import split_holdout, top_per_group
@@ -66,6 +66,21 @@ def condition_score(spark: SparkSession, d: str) -> DataFrame:
     return B.condition_scores(cur(spark, d, "logical_forms"), cur(spark, d, "atoms"), 0.5).withColumn("score", F.round("score", 6))
 
 
+_LOW = "lower(coalesce(content, '') || ' ' || coalesce(topic, ''))"
+_USEFUL = f"""(SELECT id, content FROM {A} WHERE NOT (atom_type IN ('outcome', 'failure') OR regexp_matches({_LOW}, '\\b({EPISODIC})\\b')))"""
+
+
+@query(f"""WITH c AS (SELECT id, condition, list_filter(regexp_extract_all(lower(condition), '[0-9a-z_]+'), lambda w: NOT list_contains({_STOP}, w) AND length(w) > 2) AS kw FROM {_C}), t AS (SELECT DISTINCT condition, kw FROM c), k AS (SELECT condition, len(kw) AS n, unnest(list_distinct(kw)) AS w FROM t),
+  a AS (SELECT id AS atom_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(content, '')), '[0-9a-z_]+'))) AS w FROM {_USEFUL}), h AS (SELECT condition, atom_id, count(*) / n AS score FROM k JOIN a USING (w) GROUP BY condition, atom_id, n HAVING count(*) / n >= 0.3), n AS (SELECT c.id AS form_id, atom_id, max(score) AS against FROM c JOIN h USING (condition) GROUP BY 1, 2),
+  f AS (SELECT id, list_filter(list_distinct(regexp_extract_all(lower(concat_ws(' ', content, subject, predicate, object)), '[0-9a-z_]+')), lambda w: NOT list_contains({CONFIRM_STOPWORDS}, w)) AS fw FROM {L}), fe AS (SELECT id, len(fw) AS n, unnest(fw) AS w FROM f),
+  y AS (SELECT fe.id AS form_id, a.atom_id, count(*) / n AS confirm FROM fe JOIN a USING (w) GROUP BY 1, 2, n HAVING count(*) / n >= 0.3),
+  b AS (SELECT coalesce(y.form_id, n.form_id) AS form_id, coalesce(y.atom_id, n.atom_id) AS atom_id, coalesce(confirm, 0) AS confirm, coalesce(against, 0) AS against FROM y FULL JOIN n ON n.form_id = y.form_id AND n.atom_id = y.atom_id)
+  SELECT form_id, atom_id, round(confirm, 6) AS confirm, round(against, 6) AS against, outcome FROM (SELECT *, CASE WHEN against >= 0.5 AND against > confirm THEN 'disconfirmed' WHEN confirm >= 0.4 THEN 'confirmed' WHEN against >= 0.3 THEN 'inconclusive' END AS outcome FROM b) WHERE outcome IS NOT NULL""")
+def passive_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    out = B.passive_outcomes(cur(spark, d, "logical_forms"), cur(spark, d, "atoms"))
+    return out.withColumns({"confirm": F.round("confirm", 6), "against": F.round("against", 6)})
+
+
 @query(f"""SELECT f.id AS form_id, f.form_type, count(DISTINCT s.id) AS statuses, count(DISTINCT t.id) AS tests, arg_max(t.outcome, struct_pack(a := t.tested_at, b := t.id)) AS last_outcome FROM {L} f LEFT JOIN {FS} s ON {_K.format('s.form_id')} = f.id LEFT JOIN {BT} t ON {_K.format('t.form_id')} = f.id GROUP BY 1, 2""")
 def explain_beliefs(spark: SparkSession, d: str) -> DataFrame:
     """Each form with its statuses, tests and last outcome; both sides are aggregated before they meet."""

@@ -327,4 +327,36 @@ def batched_calls(spark: SparkSession, d: str) -> DataFrame:
     return M.call_in_batches(rows, ["session_id"], ["id"], "content", 8, lambda texts: [t.upper() for t in texts]).select("id", "batch_no", "answer")
 
 
+@query(f"""SELECT world_id, label, status, count(*) AS n FROM {FS} LEFT JOIN (VALUES {", ".join(f"('{k}', '{v}')" for k, v in B.WORLDS.items())}) w(w, label) ON w = world_id GROUP BY 1, 2, 3""")
+def world_statuses(spark: SparkSession, d: str) -> DataFrame:
+    return B.world_counts(cur(spark, d, "form_status"))
+
+
+@query(f"""SELECT vec_id AS id, label AS target, round(s, 6) AS score FROM (SELECT v.vec_id, m.label, list_cosine_similarity(v.embedding::DOUBLE[], m.c) AS s, row_number() OVER (PARTITION BY v.vec_id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], m.c) DESC, m.label) AS r FROM embeddings v, {_MEANS} m) WHERE r = 1 AND s >= 0.25""")
+def nearest_above(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector with the nearest mean of a label, where that is near enough."""
+    near = U.nearest_above(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec")), _means(spark, d).select(F.col("label").alias("target"), "vec"), 0.25)
+    return near.select("id", "target", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH p AS ({MEMORY_SQL['coactivation_pairs']}) SELECT a, b, round(least(0.3 * n, 3.0), 6) AS delta FROM p""")
+def batch_deltas(spark: SparkSession, d: str) -> DataFrame:
+    """What each pair gains in a batch, capped at 3 however often it was active."""
+    rows = cur(spark, d, "atoms").select("id", F.explode("session_ids").alias("s")).join(_resolved(spark, d), "id").select("s", "entity_id").filter("s is not null").distinct()
+    return G.batch_deltas(G.pair_counts(rows, "s", "entity_id").filter("n >= 2"), 3.0).withColumn("delta", F.round("delta", 6))
+
+
+@query(f"""WITH c AS (SELECT id, string_split(id, '-')[1] AS chunk, session_ids, time_first FROM {A}), u AS (SELECT e.entity_type AS community, unnest(e.atom_ids) AS atom FROM {E} e), h AS (SELECT DISTINCT u.community, c.chunk FROM u JOIN c ON c.id = u.atom),
+  m AS (SELECT chunk, min(time_first) AS t FROM c GROUP BY 1), s AS (SELECT h.community, count(DISTINCT x.s) AS sessions FROM h JOIN (SELECT chunk, unnest(session_ids) AS s FROM c) x USING (chunk) GROUP BY 1),
+  t AS (SELECT h.community, count(*) AS chunks, min(m.t) AS first, max(m.t) AS last FROM h JOIN m USING (chunk) GROUP BY 1)
+  SELECT e.community, coalesce(chunks, 0) AS chunks, coalesce(sessions, 0) AS sessions, first, last, CASE WHEN first IS NULL THEN 0 ELSE greatest(1, (date_diff('microsecond', first, last) // 86400000000) // 7 + 1) END::INT AS week_span FROM (SELECT DISTINCT entity_type AS community FROM {E}) e LEFT JOIN t USING (community) LEFT JOIN s USING (community)""")
+def trace_hops(spark: SparkSession, d: str) -> DataFrame:
+    """From types of entities over their atoms as text units, and documents named after chunks, to chunks and sessions."""
+    a = cur(spark, d, "atoms").select("id", F.split_part("id", F.lit("-"), F.lit(1)).alias("chunk_id"), "session_ids", "time_first")
+    chunks = a.groupBy("chunk_id").agg(F.array_distinct(F.flatten(F.collect_list("session_ids"))).alias("session_ids"), F.min("time_first").alias("first_timestamp"))
+    units = a.select("id", F.concat(F.lit("d-"), "id").alias("document_id"))
+    docs = a.select(F.concat(F.lit("d-"), "id").alias("id"), F.concat(F.lit("chunk-"), "chunk_id", F.lit(".txt")).alias("title"))
+    return U.trace_hops(cur(spark, d, "entities").select(F.col("entity_type").alias("community"), F.col("atom_ids").alias("text_unit_ids")), units, docs, chunks)
+
+
 QUERIES, SQL = query.queries, query.sql
