@@ -142,5 +142,11 @@ def pack(sized: DataFrame, capacity: int) -> DataFrame:
     offset = offset.withColumn("before", F.sum("m").over(Window.partitionBy("n").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)))
     rank = F.row_number().over(Window.partitionBy("n", "salt").orderBy("doc_id", "part")) - 1
     ranked = salted.withColumn("r", rank).join(offset.select("n", "salt", F.coalesce("before", F.lit(0)).alias("before")), ["n", "salt"]).select("doc_id", "part", "n", (F.col("r") + F.col("before")).alias("rank"))
-    place = ranked.join(plan, "n").filter("rank >= lo and rank < hi")
-    return place.select("doc_id", "part", F.col("n").alias("n_tokens"), (F.col("base") + F.floor((F.col("rank") - F.col("lo")) / F.col("per"))).cast("long").alias("window_id"))
+    # slots and documents of a length are put in one order, in blocks of ranks, and each document takes the last slot before it
+    block = lambda c: F.floor(c / F.lit(RANK_ROWS))
+    slot = plan.select("n", F.col("lo"), F.struct("lo", "per", "base").alias("slot"), F.explode(F.sequence(block(F.col("lo")), block(F.col("hi") - 1))).alias("block"))
+    slot = slot.select("n", "block", F.greatest("lo", F.col("block") * RANK_ROWS).alias("rank"), F.lit(0).alias("kind"), F.lit(None).cast(sized.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("int").alias("part"), "slot")
+    docs = ranked.select("n", block(F.col("rank")).alias("block"), F.col("rank").cast("long").alias("rank"), F.lit(1).alias("kind"), "doc_id", "part", F.lit(None).cast(slot.schema["slot"].dataType).alias("slot"))
+    before = Window.partitionBy("n", "block").orderBy("rank", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    place = slot.unionByName(docs).withColumn("slot", F.last("slot", True).over(before)).filter("kind = 1")
+    return place.select("doc_id", "part", F.col("n").alias("n_tokens"), (F.col("slot.base") + F.floor((F.col("rank") - F.col("slot.lo")) / F.col("slot.per"))).cast("long").alias("window_id"))

@@ -61,6 +61,7 @@ def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
 
     weights = edges(table(spark, d, "relations").filter("relation_type = 'related_to'"), "source_entity", "target_entity", "weight")
     measured = edges(table(spark, d, "metrics"), "entity_a", "entity_b", "coactivations")
+    pairs = pairs.withColumns({"lift": F.round("lift", 6), "pmi": F.round("pmi", 6)})
     return pairs.join(weights, ["item_a", "item_b"], "left").join(measured, ["item_a", "item_b"], "left")
 
 
@@ -96,6 +97,39 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
     return total.join(specs, "spec_id").withColumn("room_used", F.col("tokens") / (F.col("windows") * F.col("capacity_tokens")))
 
 
+def p7_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the windows, per capacity: all documents placed, none with tokens lost or twice, no window over its
+    capacity, and no document split that would fit."""
+    sized = _sized(spark, d).select("doc_id", "n_tokens")
+    specs = table(spark, d, "pack_specs").select("spec_id", "capacity_tokens").distinct()
+    out = None
+    for r in specs.collect():  # a few specs
+        placed = cut(pack(sized, r["capacity_tokens"]))
+        full = placed.groupBy("window_id").agg(F.sum("n_tokens").alias("used")).agg(F.count_if(F.col("used") > r["capacity_tokens"]).alias("overfull"))
+        per = placed.groupBy("doc_id").agg(F.sum("n_tokens").alias("got"), F.count("*").alias("parts"), F.countDistinct("part").alias("distinct"))
+        both = sized.join(per, "doc_id", "left")
+        wrong = (F.coalesce("got", F.lit(-1)) != F.col("n_tokens")) | (F.col("parts") != F.col("distinct"))
+        row = both.agg(F.count("*").alias("documents"), F.count_if(F.col("got").isNull()).alias("missing"), F.count_if(wrong).alias("wrong"), F.count_if((F.col("parts") > 1) & (F.col("n_tokens") <= r["capacity_tokens"])).alias("split"))
+        row = row.join(full).select(F.lit(r["spec_id"]).alias("spec_id"), "documents", "missing", "wrong", "split", "overfull")  # one row each
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def p8_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of each mix: no document more often than allowed, none of a source without a share, and sizes within a
+    tenth of what rate and source give, but for a document or two."""
+    sized = _sized(spark, d)
+    rates = mixing_rates(sized, table(spark, d, "mix_targets"))
+    mixed = mix_documents(sized, rates)
+    asked = rates.select("mix_id", "source", "max_repeats", "target_share", "rate", "available")
+    over = mixed.join(asked, ["mix_id", "source"], "left").groupBy("mix_id").agg(F.count_if(F.col("copies") > F.col("max_repeats")).alias("over_repeated"), F.count_if(F.col("target_share").isNull()).alias("unasked"))
+    most = sized.groupBy("source").agg(F.max("n_tokens").alias("longest"))
+    got = mixed.groupBy("mix_id", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"))
+    off = asked.join(got, ["mix_id", "source"], "left").join(most, "source", "left").na.fill(0, ["tokens", "longest"])
+    far = F.abs(F.col("tokens") - F.col("rate") * F.col("available")) > 0.1 * F.col("rate") * F.col("available") + 2 * F.col("longest")
+    return over.join(off.groupBy("mix_id").agg(F.count_if(far).alias("off_target")), "mix_id")
+
+
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     """(mix_id, doc_id, source, n_tokens, copies): the selection of each mix."""
     sized = _sized(spark, d)
@@ -129,5 +163,5 @@ def p9_makeup(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_pairs, p5_found, p7_windows, p7_report, p8_mix, p8_shares, p9_found, p9_makeup)
+    f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p4_pairs, p5_found, p7_windows, p7_report, p7_checks, p8_mix, p8_shares, p8_checks, p9_found, p9_makeup)
 }

