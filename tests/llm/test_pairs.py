@@ -12,7 +12,7 @@ from tracewell.llm import cooccurrence, neighbors, restatements
 from tracewell.llm.cooccurrence import pair_lift
 from tracewell.llm.neighbors import nearest_pairs, usable_vectors
 from tracewell.llm.queries import p4_pairs
-from tracewell.llm.restatements import restatement_groups, tree_recall
+from tracewell.llm.restatements import LEAST_DEPTH, restatement_groups, tree_recall
 from tracewell.llm.spellings import Judge, star_clusters, typing_cost, variant_names
 
 
@@ -165,6 +165,26 @@ def test_restatements_in_a_large_family(spark, monkeypatch):
     assert got == restated(texts) and len(got) == 120
 
 
+def test_restatements_of_different_sizes_and_of_near_copies(spark):
+    """Short texts within longer ones, pairs that share most words of the shorter, and a family all of whose members are alike."""
+    rng = random.Random(12)
+    stock = [f"stock{k}" for k in range(300)]
+    own = lambda tag, n: [f"{tag}w{j}" for j in range(n)]
+    texts = [(f"n{k}", " ".join(own(f"n{k}", 18) + rng.sample(stock, 12))) for k in range(1500)]
+    for k in range(60):
+        whole = own(f"i{k}", 36) + rng.sample(stock, 14)
+        texts += [(f"in{k}", " ".join(whole[:12] + whole[36:40])), (f"io{k}", " ".join(whole))]
+        part = own(f"p{k}", 14) + rng.sample(stock, 10)
+        texts += [(f"pa{k}", " ".join(part)), (f"pb{k}", " ".join(part[:13] + part[14:23] + own(f"q{k}", 26)))]
+    kin = own("kin", 30)
+    texts += [(f"k{k:02d}", " ".join(rng.sample(kin, 29) + own(f"k{k}x", 2))) for k in range(60)]
+    got = {r["node"]: r["group"] for r in restatement_groups(spark.createDataFrame(texts, "id string, content string"), "id", "content").collect()}
+    assert LEAST_DEPTH == 3
+    for k in range(60):
+        assert got[f"in{k}"] == got[f"io{k}"] and got[f"pa{k}"] == got[f"pb{k}"]
+    assert {got[f"k{k:02d}"] for k in range(60)} == {"k00"} and not any(i.startswith("n") for i in got)
+
+
 def test_restatements_of_nothing(spark):
     assert restatement_groups(spark.createDataFrame([], "id string, content string"), "id", "content").count() == 0
     assert restatement_groups(spark.createDataFrame([("a", "one two three four five six seven eight")], "id string, content string"), "id", "content").count() == 0

@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from tracewell.llm.components import connected_groups
 from tracewell.runtime import cut, release
 
-TREES, DEPTH, LEAST_DEPTH = 10, 6, 3
+TREES, DEPTH = 10, 6
+#: Prefixes are shortened until a pair of this weighted similarity meets with this chance.
+SIMILARITY, RECALL = 0.6, 0.9
 #: Members of a trie node up to which all its pairs are candidates; larger nodes are told apart by longer prefixes.
 NODE = 6
 #: A word is frequent if this share of the sets hold it; at most mean size / share words are, whatever the corpus.
@@ -41,6 +43,15 @@ BLOCK_ROWS = 32768
 APART = bytes(c if chr(c) in "0123456789abcdefghijklmnopqrstuvwxyz" else 32 for c in range(256))
 
 
+def tree_recall(s: float, depth: int, trees: int = TREES) -> float:
+    """Chance that a pair of weighted similarity ``s`` shares a prefix of ``depth`` in one of the tries."""
+    return 1 - (1 - s**depth) ** trees
+
+
+#: The longest prefix length that reaches the recall wanted.
+LEAST_DEPTH = max(d for d in range(1, DEPTH + 1) if tree_recall(SIMILARITY, d) >= RECALL)
+
+
 def word_sets(texts: DataFrame, id_col: str, text_col: str, least_runs: int) -> DataFrame:
     """(id, k1, k2, n, words): the distinct words of each text as sorted 32-bit hashes, and a 128-bit key of the set.
 
@@ -236,11 +247,6 @@ def forest_pairs(sets: DataFrame, freq: np.ndarray, counts: np.ndarray, total: i
     return labels.repartition("head").sortWithinPartitions("head", "tail", "rid").mapInArrow(meet, "a long, b long").filter("a != b").distinct()
 
 
-def tree_recall(s: float, depth: int, trees: int = TREES) -> float:
-    """Chance that a pair of weighted similarity ``s`` shares a prefix of ``depth`` in one of the tries."""
-    return 1 - (1 - s**depth) ** trees
-
-
 def _lacking(n: np.ndarray, share: float) -> np.ndarray:
     """Words that a set of n may lack in its partner."""
     return n - np.ceil(share * n - 1e-9).astype(np.int64)
