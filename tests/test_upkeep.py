@@ -216,3 +216,14 @@ def test_trace_hops(spark):
     assert {(r.id, r.target) for r in U.nearest_above(v, to, 0.9).collect()} == {("a", "p")}
     talk = spark.createDataFrame([("s", 1, "user", "ask", False), ("s", 2, "assistant", "a1", False), ("s", 3, "user", "result of a tool", True), ("s", 4, "assistant", "a2", None)], "k string, n int, role string, t string, skip boolean")
     assert [(r.user_text, r.response, r.blocks) for r in S.assemble_turns(talk, "k", "n", "role", "t", F.col("skip")).collect()] == [("ask", "a1\na2", 2)]
+
+
+def test_calls_keep_their_rows(spark):
+    rows = spark.createDataFrame([(k, f"t{k}") for k in range(20)] + [(20, None)], "id int, t string").repartition(4)
+    out = {r.id: r.up for r in G.map_text(rows, "t", "up", lambda texts: [t.upper() for t in texts]).collect()}
+    assert out == {k: f"T{k}" for k in range(20)} | {20: ""}
+    batches = M.call_in_batches(rows.withColumn("g", F.lit("x")), ["g"], ["id"], "t", 8, lambda texts: [f"{len(texts)}:{t}" for t in texts]).collect()
+    assert {(r.id // 8, r.batch_no) for r in batches} == {(0, 0), (1, 1), (2, 2)} and {r.answer.split(":")[0] for r in batches if r.id >= 16} == {"5"}
+    answers = spark.createDataFrame([("x {\"a\": {\"b\": 1}} y",), ("none",), (None,)], "t string")
+    assert [r.json for r in M.json_answers(answers, "t").collect()] == ['{"a": {"b": 1}}', None, None]
+    assert spark.range(1).select(M.dry_refine(F.lit("x" * 300))).first()[0] == "x" * 200

@@ -168,14 +168,17 @@ def label_propagation(spark: SparkSession, d: str) -> DataFrame:
     return G.label_propagation(cur(spark, d, "entities").select("id"), edges)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings),
+  w(r, leaders, id, leader) AS (SELECT r, [struct_pack(id := id, v := v)], id, id FROM e WHERE r = 1
+    UNION ALL SELECT x.r, CASE WHEN hit IS NULL THEN list_append(leaders, struct_pack(id := x.id, v := x.v)) ELSE leaders END, x.id, coalesce(hit, x.id) FROM (SELECT w.leaders, e.r, e.id, e.v, list_filter(w.leaders, lambda l: list_cosine_similarity(l.v, e.v) >= 0.5)[1].id AS hit FROM w JOIN e ON e.r = w.r + 1) x)
+  SELECT id::VARCHAR AS id, leader::VARCHAR AS leader FROM w""")
 def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
     """All embeddings in order of their ids, whatever their label."""
     e = table(spark, d, "embeddings")
     return G.leader_clusters(e.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vec")), None, 0.5)
 
 
-@query()
+@query(f"SELECT id AS source_id, upper(trim(canonical_name)) AS title, upper(entity_type) AS type, 2.5::DOUBLE AS weight FROM {E}")
 def graph_tuple_parse(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("(\"entity\"<|>"), "canonical_name", F.lit("<|>"), "entity_type", F.lit("<|>"), F.coalesce("description", F.lit("none")), F.lit(")##(\"relationship\"<|>"), "canonical_name", F.lit("<|>x<|>tie<|>2.5)<|COMPLETE|>"))
     ents, rels = G.parse_graph_tuples(cur(spark, d, "entities").select("id", text.alias("t")), "id", "t")
@@ -219,9 +222,10 @@ def lesson_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"SELECT f.id, count(*) AS shared FROM (SELECT DISTINCT id, lower(trim(e)) AS e FROM (SELECT id, unnest(entities) AS e FROM {FA})) f WHERE e IN ('harrowgate index', 'brindle notebook', 'quillmark') GROUP BY 1")
-def overlap_filter(spark: SparkSession, d: str) -> DataFrame:
+def overlap_filter(spark: SparkSession, d: str, names: tuple[str, ...] = ("harrowgate index", "brindle notebook", "quillmark")) -> DataFrame:
+    """Facts that name any of some entities, with how many of them."""
     f = cur(spark, d, "facts").select("id", F.explode("entities").alias("e")).select("id", F.lower(F.trim("e")).alias("e")).distinct()
-    return f.filter(F.col("e").isin("harrowgate index", "brindle notebook", "quillmark")).groupBy("id").agg(F.count("*").alias("shared"))
+    return f.filter(F.col("e").isin(*names)).groupBy("id").agg(F.count("*").alias("shared"))
 
 
 _W = "list_distinct(regexp_extract_all(lower({}), '[0-9a-z_]+'))"
@@ -272,9 +276,10 @@ _TOPIC = "contains(lower(concat_ws(chr(10), content, subject, object)), 'snapsho
 
 @query(f"""WITH s AS (SELECT DISTINCT {_K.format('form_id')} AS form_id, status FROM {FS}), m AS (SELECT CASE WHEN s.status = 'stable' THEN 'stable' WHEN s.status = 'active' THEN 'active' WHEN s.status IN ('contradicted', 'decayed', 'superseded') THEN 'caution' END AS stage, f.id, f.content, f.confidence FROM {L} f JOIN s ON s.form_id = f.id WHERE {_TOPIC}),
   g AS (SELECT stage, id, any_value(content) AS content, max(confidence) AS confidence FROM m WHERE stage IS NOT NULL GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY confidence DESC, id)::INT AS rank FROM g) WHERE rank <= 8""")
-def belief_retrieval(spark: SparkSession, d: str) -> DataFrame:
+def belief_retrieval(spark: SparkSession, d: str, topic: str = "snapshot") -> DataFrame:
+    """The best forms of each stage on a topic."""
     s = cur(spark, d, "form_status").select(ref_key(F.col("form_id")).alias("form_id"), "status")
-    return B.beliefs_for("snapshot", cur(spark, d, "logical_forms"), s)
+    return B.beliefs_for(topic, cur(spark, d, "logical_forms"), s)
 
 
 @query(f"SELECT substr(sha256('form|' || id), 1, 32) AS form_id, CASE memory_type WHEN 'episodic' THEN 'event' WHEN 'procedural' THEN 'rule' ELSE 'claim' END AS form_type, content, coalesce(entities[1], topic) AS subject, confidence, CASE WHEN invalidated_by IS NULL THEN 'current' ELSE 'past' END AS world_id, CASE WHEN invalidated_by IS NULL THEN 'active' ELSE 'superseded' END AS status FROM {FA}")
@@ -363,13 +368,20 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("intent"), F.array("event_type").alias("things"))
 
 
-@query()
+@query("""WITH a AS (SELECT user_id, ts, event_id, CASE WHEN lag(ts) OVER w IS NULL OR date_diff('microsecond', lag(ts) OVER w, ts) > 7200000000 OR event_type <> lag(event_type) OVER w THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+  b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM a), c AS (SELECT *, (row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) - 1) // 8 AS part FROM b),
+  d AS (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY run, part) - 1 AS cluster_no FROM c) SELECT user_id, cluster_no, count(*) AS turns, min(ts) AS first, max(ts) AS last FROM d GROUP BY 1, 2""")
 def turn_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Intent and things are the type of the event, the one column that stays the same while a user does one thing."""
     return S.turn_clusters(_turns(spark, d), "user_id", "ts", ["event_id"], "intent", "things").groupBy("user_id", "cluster_no").agg(F.count("*").alias("turns"), F.min("ts").alias("first"), F.max("ts").alias("last"))
 
 
-@query()
+@query("""WITH RECURSIVE i AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r, event_id AS s, (length(props) + trunc(value)::BIGINT)::BIGINT AS t FROM events),
+  w(user_id, r, chunk, held, done) AS (SELECT user_id, r, 0, [struct_pack(s := s, t := t)], NULL::STRUCT(s BIGINT, t BIGINT)[] FROM i WHERE r = 1
+    UNION ALL SELECT user_id, r, CASE WHEN ends THEN chunk + 1 ELSE chunk END, CASE WHEN ends THEN list_append(CASE WHEN coalesce(list_sum(list_transform(tail, lambda x: x.t)), 0) + t <= 400 THEN tail ELSE [] END, struct_pack(s := s, t := t)) ELSE list_append(held, struct_pack(s := s, t := t)) END, CASE WHEN ends THEN held END
+    FROM (SELECT w.user_id, i.r, w.chunk, w.held, i.s, i.t, list_sum(list_transform(w.held, lambda x: x.t)) + i.t > 400 AS ends,
+      list_reduce(list_reverse(list_transform(w.held, lambda y: [y])), lambda keep, y: CASE WHEN coalesce(list_sum(list_transform(keep, lambda z: z.t)), 0) + y[1].t <= 80 THEN list_concat(y, keep) ELSE keep END, list_filter(w.held, lambda y: false)) AS tail FROM w JOIN i ON i.user_id = w.user_id AND i.r = w.r + 1))
+  SELECT user_id, chunk_no, list_sum(list_transform(c, lambda x: x.t))::BIGINT AS tokens, array_to_string(list_transform(c, lambda x: x.s::VARCHAR), ',') AS items FROM (SELECT user_id, chunk - 1 AS chunk_no, done AS c FROM w WHERE done IS NOT NULL UNION ALL SELECT user_id, chunk, held FROM w SEMI JOIN (SELECT user_id, max(r) AS r FROM i GROUP BY 1) USING (user_id, r))""")
 def token_packing(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("user_id", "event_id", (F.length("props") + F.col("value").cast("int")).alias("tokens"))
     return S.token_chunks(e, "user_id", "event_id", "tokens", 400, 80).select("user_id", "chunk_no", "tokens", F.array_join(F.transform("seqs", lambda x: x.cast("string")), ",").alias("items"))
