@@ -102,3 +102,20 @@ def test_subjects_of_copies_and_of_a_large_subject(spark):
     labels = [(i, a) for k, (i, a, _) in enumerate(docs) if k % 3 == 0]
     got = subject_areas(spark.createDataFrame([(i, t) for i, _, t in docs], "doc_id string, text string"), "doc_id", "text", spark.createDataFrame(labels, "doc string, subject string"), list(terms)).collect()
     assert {(r["doc"], r["subject"]) for r in got} == {(i, a) for i, a, _ in docs}
+
+
+def test_subjects_of_little(spark):
+    """Empty tables, texts without words, no labels, one document, and labels of documents that are not there."""
+    schema, labelled = "doc_id long, text string, key string, terms string", "doc long, subject string"
+    none = spark.createDataFrame([], labelled)
+    some = spark.createDataFrame([(1, "law"), (1, "law"), (2, None), (None, "law"), (9, "law"), (3, "unknown")], labelled)
+    docs = [(1, "court judge court contract", "k", "t"), (2, None, "k", "t"), (3, "", "k", "t"), (4, "1 2 ab", "k", "t"), (5, "court judge court contract", "k", "t"), (None, "court judge", "k", "t")]
+    for rows in ([], docs[1:4], docs[:1], docs):
+        for labels in (none, some):
+            for areas in ([], ["law"], ["law", "music"]):
+                got = subject_areas(spark.createDataFrame(rows, schema), "doc_id", "text", labels, areas).collect()
+                assert all(r["subject"] in areas for r in got) and not any(r["doc"] in (2, 3, 4) for r in got)
+    # a corpus of one text says nothing of its words, so two kinds are needed
+    two = [(k, "court judge contract verdict" if k % 2 else "guitar piano chord melody", "k", "t") for k in range(40)]
+    got = subject_areas(spark.createDataFrame(two, schema), "doc_id", "text", spark.createDataFrame([(k, "law" if k % 2 else "music") for k in range(10)], labelled), ["law", "music"]).collect()
+    assert {tuple(r) for r in got} == {(k, "law" if k % 2 else "music") for k in range(40)}
