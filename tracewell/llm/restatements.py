@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.components import connected_groups
+from tracewell.llm.components import connected_groups, star_pairs
 from tracewell.runtime import cut, release
 
 TREES, DEPTH = 10, 6
@@ -536,10 +536,9 @@ class _Union:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
-    """(src, dst): the ids of pairs (a, b) whose shared words are ``share`` of the smaller set at least."""
-    left = sets.select(F.col("rid").alias("a"), F.col("id").alias("src"), F.col("words").alias("wa"))
-    right = sets.select(F.col("rid").alias("b"), F.col("id").alias("dst"), F.col("words").alias("wb"))
-    both = pairs.join(left, "a").join(right, "b").select("src", "dst", "wa", "wb")
+    """(a, b) of ``pairs`` whose shared words are ``share`` of the smaller set at least."""
+    left, right = sets.select(F.col("rid").alias("a"), F.col("words").alias("wa")), sets.select(F.col("rid").alias("b"), F.col("words").alias("wb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "wa", "wb")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -549,27 +548,29 @@ def verified(pairs: DataFrame, sets: DataFrame, share: float) -> DataFrame:
             shared = np.intersect1d(p, q, assume_unique=True)
             both = np.bincount((shared >> np.uint64(32)).astype(np.int64), minlength=b.num_rows)
             ok = both >= np.ceil(share * np.minimum(np.diff(xs), np.diff(ys)) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["src", "dst"]).filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(ok))
 
-    kind = sets.schema["id"].dataType.simpleString()
-    return both.mapInArrow(check, f"src {kind}, dst {kind}")
+    return both.mapInArrow(check, "a long, b long")
 
 
 def restatement_groups(texts: DataFrame, id_col: str, text_col: str, share: float = 0.75, least_runs: int = 8) -> DataFrame:
     """(node, group) of the records linked with others, directly or over others; group is the smallest id.
 
     ``texts`` may hold an id several times, also with different texts: each of its texts links it. Records with null
-    or short texts are in no group. Equal texts are tied by one link each, however many there are. Other columns of
-    ``texts`` are ignored.
+    or short texts are in no group. Equal texts are one vertex, however many there are, and vertices are numbers; the
+    ids come back in the end. Other columns of ``texts`` are ignored.
     """
     spark = texts.sparkSession
     base = cut(word_sets(texts, id_col, text_col, least_runs))
-    sets = base.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("words").alias("words"))
-    sets = cut(sets.select(F.monotonically_increasing_id().alias("rid"), "id", "n", "words", "k1", "k2", "copies"))
-    first = sets.filter("copies > 1").select("k1", "k2", F.col("id").alias("rep"))
-    links = cut(base.select("id", "k1", "k2").join(first, ["k1", "k2"]).filter("id != rep").select(F.col("rep").alias("src"), F.col("id").alias("dst")).distinct())
-    sets = sets.select("rid", "id", "n", "words")
-    del base
+    sets = base.groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first("n").alias("n"), F.first("words").alias("words"))
+    sets = cut(sets.select(F.monotonically_increasing_id().alias("rid"), "n", "words", "k1", "k2", "copies"))
+    base = base.select("id", "k1", "k2")
+    number = sets.select("rid", "k1", "k2", "copies")
+    # the texts of one id are one record
+    key = F.struct("k1", "k2")
+    several = base.groupBy("id").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).filter("lo != hi").select("id")
+    links = star_pairs(base.join(several, "id").join(number, ["k1", "k2"]).select("id", "rid"), "id", "rid").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    sets = sets.select("rid", "n", "words")
     release(spark)
     stats = sets.agg(F.count("*").alias("total"), F.avg("n").alias("mean")).first()
     if stats["total"] > 1:
@@ -581,8 +582,10 @@ def restatement_groups(texts: DataFrame, id_col: str, text_col: str, share: floa
         rare = cut(rare_pairs(sets, freq, share))
         release(spark)
         open_pairs = near.unionByName(rare).unionByName(within.filter("not sure").select("a", "b")).distinct()
-        ids = sets.select("rid", "id")
-        sure = within.filter("sure").join(ids.select(F.col("rid").alias("a"), F.col("id").alias("src")), "a").join(ids.select(F.col("rid").alias("b"), F.col("id").alias("dst")), "b").select("src", "dst")
-        links = cut(links.unionByName(sure).unionByName(verified(open_pairs, sets, share)))
+        links = cut(links.unionByName(within.filter("sure").select("a", "b")).unionByName(verified(open_pairs, sets, share)))
         release(spark)
-    return connected_groups(links)
+    found = connected_groups(links, "a", "b").select(F.col("node").alias("rid"), F.col("group").alias("label"))
+    tied = number.join(found, "rid", "left").filter("label is not null or copies > 1").select("k1", "k2", F.coalesce("label", "rid").alias("label"))
+    members = cut(base.join(tied, ["k1", "k2"]).select("id", "label").distinct())
+    names = members.groupBy("label").agg(F.min("id").alias("group"), F.count("*").alias("c")).filter("c > 1")
+    return members.join(names, "label").select(F.col("id").alias("node"), "group")
