@@ -1,6 +1,7 @@
 """Graph, belief, evaluation and orphan operators."""
 
 import random
+import re
 from datetime import datetime
 
 import numpy as np
@@ -130,6 +131,61 @@ def test_scores_match_brute_force(spark):
     assert {(r.form_id, r.atom_id, r.outcome) for r in B.passive_outcomes(f, a).collect()} >= {("1", "a", "confirmed")}
 
 
+ATOMS = "id string, content string, topic string, atom_type string"
+
+
+def crowd():
+    """Forms and atoms over few words, with frequent and rare ones, repeats, blanks and nulls."""
+    rng = random.Random(7)
+    words = [f"w{k}" for k in range(40)]
+    say = lambda n: " ".join(words[min(int(rng.expovariate(0.12)), 39)] for _ in range(n))
+    kinds = ["claim", "rule", "decision", "warning", "plan", "preference", "event"]
+    forms = [form(f"f{i:03}", kinds[i % 7], say(rng.randint(0, 9)), *((say(1), say(2), say(2)) if i % 2 else (None, "", None))) for i in range(300)]
+    stock = "evidence that the rule was violated and the outcome was still good caused a problem risk mitigated reverted".split()
+    atoms = [(f"a{i:03}", None if i % 50 == 0 else say(rng.randint(0, 12)) + " " + " ".join(rng.sample(stock, i % 6)), None, "decision") for i in range(400)]
+    return forms, atoms
+
+
+def scored_by_hand(spark, forms, atoms):
+    """(form, atom) -> share of words, and best share of a condition's words."""
+    conditions = X.disconfirmation_conditions(*[F.col(c) for c in ("form_type", "content", "subject", "predicate", "object")])
+    con, dis = {}, {}
+    texts = {r.id: (r.t, r.c) for r in forms.select("id", F.concat_ws(" ", "content", "subject", "predicate", "object").alias("t"), conditions.alias("c")).collect()}
+    cut = lambda t: re.findall("[0-9a-z_]+", t.lower())
+    has = {r.id: set(cut(r.content or "")) for r in atoms.collect()}
+    for f, (t, c) in texts.items():
+        own = {w for w in cut(t) if w not in X.CONFIRM_STOPWORDS}
+        lists = [kw for x in c if (kw := [w for w in cut(x) if w not in X.CONDITION_STOPWORDS and len(w) > 2])]
+        for a, words in has.items():
+            con[f, a] = len(own & words) / len(own) if own else 0.0
+            dis[f, a] = max((len(set(kw) & words) / len(kw) for kw in lists), default=0.0)
+    return con, dis
+
+
+def small_blocks(monkeypatch):
+    for name, size in (("FORM_BLOCK", 100), ("ATOM_BLOCK", 150), ("LINES", 70), ("CELLS", 5000)):
+        monkeypatch.setattr(B, name, size, raising=False)
+
+
+def moves_no_pairs(df):
+    """Nothing is shuffled, joined or grouped after forms and atoms have met."""
+    above = df._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+    return not any(w in above for w in ("Join", "Aggregate", "Repartition"))
+
+
+def test_keyword_scores_move_no_pairs(spark, monkeypatch):
+    small_blocks(monkeypatch)
+    forms, atoms = crowd()
+    f, a = spark.createDataFrame(forms, FORMS), spark.createDataFrame(atoms, ATOMS)
+    con, _ = scored_by_hand(spark, f, a)
+    got = B.keyword_scores(f, a, 0.4)
+    rows = got.collect()
+    assert {(r.form_id, r.atom_id): r.score for r in rows} == {k: v for k, v in con.items() if v >= 0.4} and len(rows) == len({(r.form_id, r.atom_id) for r in rows}) > 1000
+    assert {r.score for r in B.keyword_scores(f, a, 0.4, digits=2).collect()} == {round(r.score * 100 + 1e-9) / 100 for r in rows}
+    assert B.keyword_scores(f.limit(0), a).count() == B.keyword_scores(f, a.limit(0)).count() == 0
+    assert moves_no_pairs(got)
+
+
 def test_beta_path_and_repair(spark):
     t = spark.createDataFrame([("f", 1, "confirmed"), ("f", 2, "inconclusive"), ("g", 1, "disconfirmed")], "f string, n int, outcome string")
     assert [round(r.confidence, 4) for r in B.beta_path(t, "f", ["n"], "outcome").orderBy("f", "n").collect()] == [0.6667, 0.6667, 0.3333]
