@@ -186,6 +186,17 @@ def test_keyword_scores_move_no_pairs(spark, monkeypatch):
     assert moves_no_pairs(got)
 
 
+def test_condition_scores_move_no_pairs(spark, monkeypatch):
+    small_blocks(monkeypatch)
+    forms, atoms = crowd()
+    f, a = spark.createDataFrame(forms, FORMS), spark.createDataFrame(atoms, ATOMS)
+    _, dis = scored_by_hand(spark, f, a)
+    got = B.condition_scores(f, a, 0.3)
+    rows = got.collect()
+    assert {(r.form_id, r.atom_id): r.score for r in rows} == {k: v for k, v in dis.items() if v >= 0.3} and len(rows) == len({(r.form_id, r.atom_id) for r in rows}) > 1000
+    assert moves_no_pairs(got)
+
+
 def test_beta_path_and_repair(spark):
     t = spark.createDataFrame([("f", 1, "confirmed"), ("f", 2, "inconclusive"), ("g", 1, "disconfirmed")], "f string, n int, outcome string")
     assert [round(r.confidence, 4) for r in B.beta_path(t, "f", ["n"], "outcome").orderBy("f", "n").collect()] == [0.6667, 0.6667, 0.3333]
