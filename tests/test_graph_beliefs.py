@@ -197,6 +197,22 @@ def test_condition_scores_move_no_pairs(spark, monkeypatch):
     assert moves_no_pairs(got)
 
 
+def test_passive_outcomes_move_no_pairs(spark, monkeypatch):
+    small_blocks(monkeypatch)
+    forms, atoms = crowd()
+    f, a = spark.createDataFrame(forms, FORMS), spark.createDataFrame(atoms, ATOMS)
+    useful = a.filter(X.memory_class(F.col("content"), F.col("topic"), F.col("atom_type")) != "episodic")
+    con, dis = scored_by_hand(spark, f, useful)
+    want = {}
+    for k in con:
+        c, d = con[k] if con[k] >= 0.3 else 0.0, dis[k] if dis[k] >= 0.3 else 0.0
+        if kind := "disconfirmed" if d >= 0.5 and d > c else "confirmed" if c >= 0.4 else "inconclusive" if d >= 0.3 else None:
+            want[k] = (c, d, kind)
+    got = B.passive_outcomes(f, a)
+    assert {(r.form_id, r.atom_id): (r.confirm, r.against, r.outcome) for r in got.collect()} == want and len({v[2] for v in want.values()}) == 3
+    assert moves_no_pairs(got)
+
+
 def test_beta_path_and_repair(spark):
     t = spark.createDataFrame([("f", 1, "confirmed"), ("f", 2, "inconclusive"), ("g", 1, "disconfirmed")], "f string, n int, outcome string")
     assert [round(r.confidence, 4) for r in B.beta_path(t, "f", ["n"], "outcome").orderBy("f", "n").collect()] == [0.6667, 0.6667, 0.3333]
