@@ -65,6 +65,31 @@ def test_probes(spark):
     assert {tuple(r) for r in got.collect()} == {("a", "b", 3, 1, 1, 33.3), ("a", "zz", 3, 0, 0, 0.0)}
 
 
+def shuffled(spark):
+    """Records shuffled so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_shared_groups_of_a_hub(spark):
+    """An item of very many groups in very many pairs; what is looked up are the groups of the others, on either side."""
+    rows = spark.createDataFrame([(f"g{k}", "hub") for k in range(2000)] + [(f"g{k * j % 2500}", f"{'az'[k % 2]}{k}") for k in range(300) for j in (1, 2)], "group string, item string").distinct()
+    pairs = spark.createDataFrame([tuple(sorted(("hub", f"{'az'[k % 2]}{k}"))) for k in range(300)], "a string, b string")
+    before, limit = shuffled(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {(r.a, r.b): r for r in U.shared_groups(pairs, rows).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert shuffled(spark) - before < 20_000
+    groups = {}
+    for r in rows.collect():
+        groups.setdefault(r.item, set()).add(r.group)
+    assert len(got) == 300 and all((r.groups_a, r.groups_b, r.shared) == (len(groups[a]), len(groups[b]), len(groups[a] & groups[b])) for (a, b), r in got.items())
+
+
 def test_merge_by_pointer(spark):
     rng = random.Random(1)
     to = {i: None for i in range(300)}

@@ -141,9 +141,14 @@ def probe_records(rows: DataFrame, a: str, b: str, k: int = 5) -> DataFrame:
 def shared_groups(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b, groups_a, groups_b, shared, overlap_pct): in how many groups two items are, each and together, and what share
     of the larger number that is, in percent with one digit. pairs: (a, b); rows: (group, item), distinct."""
+    rows = cut(rows)
     size = rows.groupBy("item").agg(F.count("*").alias("n"))
-    both = pairs.join(rows.select(F.col("item").alias("a"), "group"), "a").join(rows.select(F.col("item").alias("b"), "group"), ["b", "group"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    out = pairs.join(size.select(F.col("item").alias("a"), F.col("n").alias("groups_a")), "a", "left").join(size.select(F.col("item").alias("b"), F.col("n").alias("groups_b")), "b", "left").join(both, ["a", "b"], "left").na.fill(0, ["groups_a", "groups_b", "shared"])
+    sized = cut(pairs.join(size.select(F.col("item").alias("a"), F.col("n").alias("groups_a")), "a", "left").join(size.select(F.col("item").alias("b"), F.col("n").alias("groups_b")), "b", "left").na.fill(0, ["groups_a", "groups_b"]))
+    # the groups of the item that is in fewer are looked up, so that an item of very many groups is not spread over its pairs
+    less = F.col("groups_a") <= F.col("groups_b")
+    asked = sized.filter("groups_a > 0 and groups_b > 0").select("a", "b", F.when(less, F.col("a")).otherwise(F.col("b")).alias("few"), F.when(less, F.col("b")).otherwise(F.col("a")).alias("many"))
+    both = asked.join(rows.select(F.col("item").alias("few"), "group"), "few").join(rows.select(F.col("item").alias("many"), "group"), ["many", "group"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    out = sized.join(both, ["a", "b"], "left").na.fill(0, ["shared"])
     return out.select("a", "b", "groups_a", "groups_b", "shared", overlap_pct(F.col("shared"), F.col("groups_a"), F.col("groups_b")).alias("overlap_pct"))
 
 
