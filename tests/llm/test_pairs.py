@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from tracewell.llm import cooccurrence, neighbors, restatements
+from tracewell.llm.components import connected_groups
 from tracewell.llm.cooccurrence import pair_lift
 from tracewell.llm.neighbors import nearest_pairs, usable_vectors
 from tracewell.llm.queries import p4_pairs
@@ -185,6 +186,27 @@ def test_restatements_of_different_sizes_and_of_near_copies(spark):
     assert {got[f"k{k:02d}"] for k in range(60)} == {"k00"} and not any(i.startswith("n") for i in got)
 
 
+def test_restatements_by_frequent_words_in_several_blocks(spark):
+    """What the second stage gives is alike by frequent words, with no pair left open, whatever the size of its blocks."""
+    rng = np.random.default_rng(3)
+    words = [np.unique(np.r_[rng.choice(40, 14, replace=False), 1000 + 3 * k + np.arange(rng.integers(0, 3))]).astype(np.uint32) for k in range(600)]
+    words += [w[: len(w) - k % 4] for k, w in enumerate(words[:100])]
+    rows = [(k, len(w), w.tobytes()) for k, w in enumerate(words)]
+    sets = spark.createDataFrame(rows, "rid long, n int, words binary").repartition(3)
+    freq, counts = restatements.frequent_words(sets, len(rows), 15.0)
+    freq, counts = freq[counts > 9], counts[counts > 9]
+    alike = lambda a, b: len(set(a) & set(b)) >= 0.75 * min(len(a), len(b))
+    want = [(a, b) for a, b in itertools.combinations(range(len(words)), 2) if alike(words[a], words[b])]
+    for block_rows in (37, 100_000):
+        within = restatements.contained_pairs(sets, freq, counts, 0.75, block_rows)
+        assert within.columns == ["a", "b"]
+        rare = restatements.verified(restatements.rare_pairs(sets, freq, 0.75), sets, 0.75)
+        tied = {r["node"]: r["group"] for r in connected_groups(within.unionByName(rare), "a", "b").collect()}
+        assert tied == {r["node"]: r["group"] for r in connected_groups(spark.createDataFrame(want, "a long, b long"), "a", "b").collect()}
+        alone = connected_groups(within, "a", "b").select("node", "group").collect()
+        assert {tied[r["node"]] == tied[r["group"]] for r in alone} == {True}
+
+
 def test_restatements_of_nothing(spark):
     assert restatement_groups(spark.createDataFrame([], "id string, content string"), "id", "content").count() == 0
     assert restatement_groups(spark.createDataFrame([("a", "one two three four five six seven eight")], "id string, content string"), "id", "content").count() == 0
