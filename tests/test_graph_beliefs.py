@@ -213,6 +213,39 @@ def test_passive_outcomes_move_no_pairs(spark, monkeypatch):
     assert moves_no_pairs(got)
 
 
+def test_blocks_are_not_copied_for_each_other(spark, monkeypatch):
+    """Each form and atom is shuffled once at most, however many blocks the other side has."""
+    forms, atoms = crowd()
+    f, a = spark.createDataFrame(forms, FORMS), spark.createDataFrame(atoms, ATOMS)
+
+    def shuffled(get):
+        run = get(f, a)
+        run.write.format("noop").mode("overwrite").save()
+        run.collect()
+        text, total = run._jdf.queryExecution().executedPlan(), 0
+        todo = [text]
+        while todo:
+            node = todo.pop()
+            if node.nodeName() == "AdaptiveSparkPlan":
+                todo.append(node.executedPlan())
+            elif "QueryStage" in node.nodeName():
+                todo.append(node.plan())
+            else:
+                if node.nodeName() == "Exchange":
+                    total += node.metrics().apply("shuffleRecordsWritten").value()
+                kids = node.children()
+                todo += [kids.apply(k) for k in range(kids.size())]
+        return total
+
+    for get in (B.keyword_scores, B.passive_outcomes):
+        small_blocks(monkeypatch)
+        assert 0 < shuffled(get) <= len(forms) + len(atoms)
+        monkeypatch.setattr(B, "TASKS", 3)
+        few = {tuple(r) for r in get(f, a).collect()}
+        monkeypatch.undo()
+        assert few == {tuple(r) for r in get(f, a).collect()}
+
+
 def test_beta_path_and_repair(spark):
     t = spark.createDataFrame([("f", 1, "confirmed"), ("f", 2, "inconclusive"), ("g", 1, "disconfirmed")], "f string, n int, outcome string")
     assert [round(r.confidence, 4) for r in B.beta_path(t, "f", ["n"], "outcome").orderBy("f", "n").collect()] == [0.6667, 0.6667, 0.3333]
